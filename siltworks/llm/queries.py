@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltworks.llm import formats, near, overlap, pieces, quota, split
+from siltworks.llm import formats, leakage, mixing, near, overlap, pieces, quota, residue, split
 from siltworks.plans.runtime import table
 
 #: Production parameters of near-duplicate queries, as TESTDATA.md states them.
@@ -79,5 +79,40 @@ def p7_coverage(spark: SparkSession, d: str) -> DataFrame:
     return _overlap(spark, d).coverage().withColumnRenamed("id", "fn_id")
 
 
+def _leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return _leaks(spark, d).where(F.col("run") >= leakage.RUN).select("doc_id", "item_id")
+
+
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    found = _leaks(spark, d).withColumn("verbatim", F.col("run") >= leakage.RUN)
+    found = found.where(F.col("verbatim") | ((F.col("subsequence") >= leakage.PARAPHRASE) & (F.col("answer") >= leakage.ANSWER)))
+    return found.groupBy("item_id").agg(F.sum(F.col("verbatim").cast("long")).alias("verbatim_documents"), F.sum((~F.col("verbatim")).cast("long")).alias("paraphrased_documents"), F.max("run").alias("longest_run"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix_report(table(spark, d, "documents"), table(spark, d, "mix_targets")).where("short").select("source")
+
+
+def p9_report(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix_report(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mixed(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return residue.residue(table(spark, d, "documents")).select("doc_id")
+
+
+def p10_clean(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return docs.select("doc_id", "source").join(residue.residue(docs).select("doc_id"), "doc_id", "left_anti")
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1:2].isdigit() and callable(v)}
