@@ -76,7 +76,7 @@ def mix_report(df: DataFrame, targets: DataFrame, vocabulary: str | None = None)
     """Per wanted source: its size in tokens, quota, share wanted and reached (of the mix), and whether it falls short.
 
     The mix aims at the total size of all records that have a source; a source gives its weight of it, at most max_repeats times its size. Sources named twice are added up; a null weight is 0. A wanted source without records has size 0 and falls short of any positive weight."""
-    rows, total = _plan(token_sizes(df, vocabulary=vocabulary), targets)
+    rows, total = _plan(materialize(token_sizes(df, vocabulary=vocabulary)), targets)
     whole = sum(r[5] for r in rows)
     out = [(s, size, n, quota, w / 1000, quota / whole if whole else 0.0, m * size * 1000 < w * total) for s, size, n, w, m, quota in rows]
     return df.sparkSession.createDataFrame(out, "source string, tokens long, records long, quota long, wanted_share double, reached_share double, short boolean")

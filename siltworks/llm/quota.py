@@ -6,14 +6,12 @@ import math
 from collections import deque
 from fractions import Fraction
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siltworks.functions.text import cwe_class
 
-BUCKETS = 1 << 14
-
-
 def _max_flow(n: int, edges: list[tuple[int, int, int]], s: int, t: int) -> list[int]:
     """The flow on each edge of a maximum flow (shortest augmenting paths; the graph has one edge a category)."""
     to, cap, out = [], [], [[] for _ in range(n)]
@@ -103,22 +101,21 @@ def target_report(df: DataFrame, targets: DataFrame, divisor: int = 10, target:
 
 
 def quota_sample(df: DataFrame, targets: DataFrame, divisor: int = 10, seed: int = 42, key: str = "fn_id", target: str = "target", cwe: str = "cwe") -> DataFrame:
-    """Exactly the quota of rows of each category (target_report), those with the smallest random keys, with every column of df and the category.
+    """Exactly the quota of rows of each category (target_report), those with the smallest random keys, with every column of df and the category as sample_cwe (a column of that name is replaced).
 
     The random key is a hash of the seed and the row's key. A histogram over hash buckets finds for each category the bucket in which its quota ends; rows of earlier buckets are taken as they are and only that bucket's rows are ranked, so no category is gathered in one task. Rows with the same key (repeated or null) tie and are told apart by a hash of the whole row and then arbitrarily; the quota holds. Rows outside the wanted categories are never drawn."""
-    spark: SparkSession = df.sparkSession
     report = target_report(df, targets, divisor, target, cwe)
     quotas = F.broadcast(report.select(F.col("target").alias("__t"), F.col("cwe").alias("__c"), F.col("quota").alias("__q")))  # one row a category
-    from pyspark.sql import Window as W
-
-    keyed = df.select("*", F.col(target).alias("__t"), cwe_class(F.col(cwe)).alias("__c"), F.xxhash64(F.lit(seed), F.col(key)).alias("__h"), F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]).alias("__r")).withColumn("__b", F.shiftrightunsigned("__h", 50).cast("int"))
-    narrow = df.select(F.col(target).alias("__t"), cwe_class(F.col(cwe)).alias("__c"), F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(key)), 50).cast("int").alias("__b"))
+    drawn = [F.col(target).alias("__t"), cwe_class(F.col(cwe)).alias("__c"), F.xxhash64(F.lit(seed), F.col(key)).alias("__h")]
+    bucket = F.shiftrightunsigned("__h", 50).cast("int")
+    keyed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__row"), *drawn).withColumn("__b", bucket)
+    narrow = df.select(*drawn).withColumn("__b", bucket).drop("__h")
     counts = narrow.join(quotas, ["__t", "__c"]).groupBy("__t", "__c", "__q", "__b").agg(F.count(F.lit(1)).alias("__n"))
     before = F.coalesce(F.sum("__n").over(W.partitionBy("__t", "__c").orderBy("__b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     cut = counts.withColumn("__before", before).where((F.col("__before") < F.col("__q")) & (F.col("__before") + F.col("__n") >= F.col("__q")))
     cut = F.broadcast(cut.select("__t", "__c", F.col("__b").alias("__edge"), (F.col("__q") - F.col("__before")).alias("__left")))  # one row a category
     near = keyed.join(cut, ["__t", "__c"]).where(F.col("__b") <= F.col("__edge"))
     whole = near.where(F.col("__b") < F.col("__edge"))
-    rank = F.row_number().over(W.partitionBy("__t", "__c").orderBy("__h", "__r"))
+    rank = F.row_number().over(W.partitionBy("__t", "__c").orderBy("__h", F.xxhash64("__row")))
     edge = near.where(F.col("__b") == F.col("__edge")).withColumn("__rank", rank).where(F.col("__rank") <= F.col("__left")).drop("__rank")
-    return whole.unionByName(edge).withColumn("sample_cwe", F.col("__c")).select(*df.columns, "sample_cwe")
+    return whole.unionByName(edge).select(*[F.col("__row").getField(c).alias(c) for c in df.columns if c != "sample_cwe"], F.col("__c").alias("sample_cwe"))
