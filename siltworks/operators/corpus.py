@@ -55,7 +55,7 @@ def preprocess_counters(df: DataFrame) -> DataFrame:
 def label_report(df: DataFrame) -> DataFrame:
     """Per split: labels, negatives to positives, the capped positive weight and whether the imbalance is severe (over 20)."""
     g = df.groupBy("split").agg(F.count(F.when(F.col("target") == 1, 1)).alias("positives"), F.count(F.when(F.col("target") == 0, 1)).alias("negatives"))
-    ratio = F.col("negatives") / F.col("positives")
+    ratio = F.try_divide("negatives", "positives")
     return g.select(
         "*",
         F.when(F.col("positives") > 0, F.round(ratio, 9)).alias("ratio"),

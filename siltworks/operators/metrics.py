@@ -85,8 +85,8 @@ def ranking(df: DataFrame, by: str = "split") -> DataFrame:
     return x.groupBy(by).agg(
         F.first("all_p").alias("positives"),
         F.first("all_n").alias("negatives"),
-        F.when(both, F.round(F.sum(F.col("n") * (F.col("tp") - F.col("p") / 2)) / (F.first("all_p") * F.first("all_n")), 9)).otherwise(nan).alias("roc_auc"),
-        F.when(both, F.round(F.sum((F.col("p") / F.col("all_p")) * (F.col("tp") / (F.col("tp") + F.col("fp")))), 9)).otherwise(nan).alias("average_precision"),
+        F.when(both, F.round(F.try_divide(F.sum(F.col("n") * (F.col("tp") - F.col("p") / 2)), F.first("all_p") * F.first("all_n")), 9)).otherwise(nan).alias("roc_auc"),
+        F.when(both, F.round(F.sum(F.try_divide("p", "all_p") * F.try_divide(F.col("tp"), F.col("tp") + F.col("fp"))), 9)).otherwise(nan).alias("average_precision"),
     )
 
 

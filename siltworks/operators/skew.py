@@ -77,8 +77,6 @@ def project_profile(functions: DataFrame, documents: DataFrame | None = None) ->
     )
 
 
-def hot_projects(functions: DataFrame, least_share_percent: int = 4) -> DataFrame:
-    """The projects that hold at least the given share of all rows, rows without a project counted in the total."""
-    states = key_states(functions, label_key(F.col("project")), {}, "project")
-    total = functions.agg(F.count(F.lit(1)).alias("total"))
-    return states.crossJoin(F.broadcast(total)).where(F.col("n") * 100 >= F.col("total") * least_share_percent)  # total is one row
+def hot_projects(functions: DataFrame, documents: DataFrame | None = None, least_share_percent: int = 4) -> DataFrame:
+    """The profiles of the projects that hold at least the given share of all rows, rows without a project counted in the total."""
+    return project_profile(functions, documents).where(F.col("rows") * 100 >= F.col("total") * least_share_percent)

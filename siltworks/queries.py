@@ -29,7 +29,7 @@ def preds(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def p4_found(spark, d):
-    return skew.hot_projects(fns(spark, d)).select("project")
+    return skew.hot_projects(fns(spark, d), table(spark, d, "documents")).select("project")
 
 
 @query
