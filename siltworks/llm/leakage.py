@@ -16,6 +16,8 @@ from siltworks.plans.runtime import materialize
 
 #: Words of a passage and of a run that counts as a leak, step of the passages, hashed terms, rank and its surplus, power iterations, least cosine, item passages searched at once.
 RUN, STEP, TERMS, RANK, EXTRA, POWER, COSINE, BLOCK = 12, 4, 1 << 15, 128, 8, 2, 0.75, 16_384
+#: Step of the items' passages.
+EVERY = 2
 #: The documents, at most, that the basis is fitted on (term frequencies cover all), and the least common subsequence and answer share of a paraphrase.
 FIT, PARAPHRASE, ANSWER = 20_000, 0.6, 0.8
 _BLOCKS = 64
@@ -252,7 +254,7 @@ def _search(shared):
 def leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", item_key: str = "item_id", text: str = "text") -> DataFrame:
     """(doc_id, item_id, cosine, run, subsequence, answer) of the documents and items that retrieval brings together.
 
-    All documents are cut into passages of 12 words at every fourth word; a run of 12 words of an item shares ten or more words with one of the item's own passages (one at every word), whose latent cosine stays well above the threshold of 0.75. run: the longest run of consecutive shared words (12 or more: a leak); subsequence: the longest common subsequence against the item's length (a paraphrase from 0.6 on with an answer share of 0.8); answer: the share of the words of the item's last sentence in the document. Items are searched in blocks of at most 16,384 passages, each of bounded size on the workers. Null, empty and wordless texts leak nothing; repeated documents each count; an item of fewer than 12 words has one passage and cannot reach a run of 12."""
+    All documents are cut into passages of 12 words at every fourth word; a run of 12 words of an item shares nine or more words with one of the item's own passages (one at every other word and the last), whose latent cosine stays above the threshold of 0.75. run: the longest run of consecutive shared words (12 or more: a leak); subsequence: the longest common subsequence against the item's length (a paraphrase from 0.6 on with an answer share of 0.8); answer: the share of the words of the item's last sentence in the document. Items are searched in blocks of at most 16,384 passages, each of bounded size on the workers. Null, empty and wordless texts leak nothing; repeated documents each count; an item of fewer than 12 words has one passage and cannot reach a run of 12."""
     spark = documents.sparkSession
     words = encoded(documents, key, text)
     idf = inverse_frequencies(words)
@@ -263,7 +265,7 @@ def leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", item_key:
     def search(block: list) -> DataFrame:
         owner, vectors = [], []
         for i, (_, w, _) in enumerate(block):
-            starts = np.arange(0, max(1, len(w) - RUN + 1))
+            starts = np.unique([*range(0, max(1, len(w) - RUN + 1), EVERY), max(0, len(w) - RUN)])
             owner.append(np.full(len(starts), i))
             vectors.append(_windows(w, starts, idf, basis))
         shared = spark.sparkContext.broadcast((idf, basis, np.concatenate(owner), np.ascontiguousarray(np.concatenate(vectors)), block))
@@ -275,7 +277,7 @@ def leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", item_key:
             continue
         sentences = [s for s in regex.split(r"(?<=[.!?])\s+", r.text.strip()) if s]
         block.append((r.id, w, word_hashes(sentences[-1], cache)))
-        size += max(1, len(w) - RUN + 1)
+        size += 2 + len(w) // EVERY
         if size >= BLOCK:
             found = search(block)
             out, block, size = found if out is None else out.unionByName(found), [], 0
