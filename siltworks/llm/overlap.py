@@ -81,6 +81,42 @@ def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(seqs, pa.int64()), pa.array(key.view(np.int64)), pa.array(pos, pa.int32()), pa.array(n, pa.int32()), pa.array(code, pa.binary())], names=["seq", "passage", "pos", "n", "letters"])
 
 
+def _keys(raw: bytes, size: int) -> np.ndarray:
+    """The hash of every run of size words of a text's letters, in order."""
+    codes = np.frombuffer(raw, np.uint32).astype(np.uint64)
+    runs = max(0, len(codes) - size + 1)
+    key = np.full(runs, size, np.uint64)
+    with np.errstate(over="ignore"):
+        for j in range(size):
+            key = mix(key * np.uint64(0x9E3779B97F4A7C15) + codes[j : j + runs])
+    return key.view(np.int64)
+
+
+def _held_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(seq, letters) -> (seq, pos, n, passage) of the passage at every word; a text of fewer words is one passage."""
+    for batch in batches:
+        seqs, raws = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+        for first in range(0, len(raws), 500):
+            part = raws[first : first + 500]
+            sizes = np.array([min(PASSAGE, len(raw) // WORD) for raw in part], np.int32)
+            keys = [_keys(raw, size) for raw, size in zip(part, sizes.tolist())]
+            count = [len(key) for key in keys]
+            pos = np.concatenate([np.arange(n, dtype=np.int32) for n in count])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(seqs[first : first + 500], count)), pa.array(pos), pa.array(np.repeat(sizes, count)), pa.array(np.concatenate(keys))], names=["seq", "pos", "n", "passage"])
+
+
+def _train_runs(sizes: list[int]):
+    """(letters) -> (passage) of every run of each size, once a batch at least."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [_keys(raw, size) for raw in set(batch.column(0).to_pylist()) for size in sizes]
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(keys)))], names=["passage"])
+
+    return run
+
+
 _built: dict[int, object] = {}
 
 
@@ -184,13 +220,18 @@ class Overlap:
         return self._links
 
     def coverage(self) -> DataFrame:
-        """(id, words, covered) of every held-out row with words: how many of its words lie in passages that occur in training texts, overlapping passages merged."""
-        own, hits = self.matches()
-        hit = own.join(hits.select("passage").distinct(), "passage", "left_semi")
-        far = F.coalesce(F.max(F.col("pos") + F.col("n")).over(W.partitionBy("seq").orderBy("pos").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-        gain = F.greatest(F.col("pos") + F.col("n") - F.greatest("pos", "far"), F.lit(0))
-        per = hit.withColumn("far", far).groupBy("seq").agg(F.sum(gain).alias("covered"))
-        return self.codes.where("held").select("id", "seq", F.col("n").alias("words")).join(per, "seq", "left").select("id", "words", F.coalesce("covered", F.lit(0)).alias("covered"))
+        """(id, words, covered) of every held-out row with words: how many of its words lie in runs of five words (a shorter text: in itself) that occur in training texts, overlapping runs merged.
+
+        The runs at every word of both sides meet by their hashes in one join, so a copied stretch of five words or more counts wherever it begins."""
+        held, train = self.codes.where("held"), self.codes.where("NOT held")
+        once = held.groupBy("seq").agg(F.min("id").alias("id"))
+        own = held.join(once, ["seq", "id"], "left_semi").select("seq", "letters")
+        sizes = sorted({PASSAGE, *(r.n for r in held.where(F.col("n") < PASSAGE).select("n").distinct().collect())})
+        runs = own.mapInArrow(_held_runs, "seq long, pos int, n int, passage long")
+        hit = runs.join(train.select("letters").mapInArrow(_train_runs(sizes), "passage long"), "passage", "left_semi")
+        before = F.lag("pos").over(W.partitionBy("seq").orderBy("pos"))
+        per = hit.withColumn("gain", F.least("n", F.coalesce(F.col("pos") - before, F.col("n")))).groupBy("seq").agg(F.sum("gain").alias("covered"))
+        return held.select("id", "seq", F.col("n").alias("words")).join(per, "seq", "left").select("id", "words", F.coalesce("covered", F.lit(0)).alias("covered"))
 
     def near(self) -> DataFrame:
         """Pairs of similar texts that differ in their folded form.

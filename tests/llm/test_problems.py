@@ -323,6 +323,36 @@ def test_overlap_of_odd_tables(spark):
     assert overlap.Overlap(odd).all().collect() == []
 
 
+@pytest.mark.parametrize("n", [1, 3, 5, 59, 60, 100, 203])
+def test_a_copied_text_is_covered_whole(spark, n):
+    rng = random.Random(n)
+    text = body(rng, n)
+    rows = [function(1, f"{body(rng, 7)} {text} {body(rng, 9)}"), function(2, text, "valid"), function(3, text, "test")]
+    cover = {r.id: (r.words, r.covered) for r in overlap.Overlap(functions(spark, rows)).coverage().collect()}
+    assert cover == {2: (n, n), 3: (n, n)}
+
+
+def test_coverage_equals_brute_force(spark):
+    rng = random.Random(12)
+    pool = [body(rng, 120) for _ in range(4)]
+    rows = [function(i, t) for i, t in enumerate(pool)]
+    for i in range(10, 50):  # copied stretches of 2 to 40 words at any place among other words
+        w = []
+        for _ in range(rng.randrange(1, 5)):
+            a, n = rng.randrange(80), rng.randrange(2, 41)
+            w += rng.choice(pool).split()[a : a + n] + [f"o{rng.randrange(10**6)}" for _ in range(rng.randrange(30))]
+        rows.append(function(i, " ".join(w), rng.choice(["valid", "test"])))
+    grams = {tuple(t.split()[a : a + 5]) for t in pool for a in range(116)}
+    want = {}
+    for r in rows[4:]:
+        w = r[2].split()
+        size = min(5, len(w))
+        seen = {a + j for a in range(len(w) - size + 1) if (tuple(w[a : a + 5]) in grams if size == 5 else any(tuple(w) == g[j : j + size] for g in grams for j in range(6 - size))) for j in range(size)}
+        want[r[0]] = (len(w), len(seen))
+    got = {r.id: (r.words, r.covered) for r in overlap.Overlap(functions(spark, rows)).coverage().collect()}
+    assert got == want
+
+
 # ---- problem 8
 
 
