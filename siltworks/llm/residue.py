@@ -37,6 +37,8 @@ MARKS = [
     r"(?<![\w{$#])\{[A-Za-z][A-Za-z_]{2,30}\}(?!\w)",
     r"(?<=[:\s])_{4,}(?=[\s.,]|$)",
 ]
+#: Forms of MARKS that are a slot wherever they stand open; the others are also syntax of shells, wikis, markup or languages.
+SURE = {0, 3, 6, 7, 11, 12, 13, 14, 15}
 #: Names that the angle form of a mark does not have, being markup.
 TAGS = "p br hr div span a b i u s em strong code pre ul ol li table tr td th tbody thead h img html body head script style sup sub small blockquote center font form input button label section article nav main footer header".split()
 # Filler in place of content.
@@ -178,7 +180,7 @@ def skeleton(segment: str, plain: str | None = None) -> str:
 
 
 _GAP = re.compile(r"[^\w\x00]+")
-_OUT = pa.schema([("doc_id", pa.int64()), ("skeleton", pa.int64()), ("kind", pa.int8()), ("filler", pa.int64()), ("alone", pa.bool_())])
+_OUT = pa.schema([("doc_id", pa.int64()), ("skeleton", pa.int64()), ("kind", pa.int8()), ("filler", pa.int64()), ("segment", pa.int64()), ("alone", pa.bool_())])
 #: Kinds of segment: without mark, with an open mark, with a quoted mark, page text.
 FILLED, OPEN, QUOTED, PAGE = 0, 1, 2, 3
 _hash = lambda s: xxhash.xxh64_intdigest(s) - (1 << 63)
@@ -198,10 +200,10 @@ def _segment_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                     form = skeleton(p)
                     opened = [x for x in found if not x[2]]
                     kind, name, _ = (opened or found)[0]
-                    rows.append((doc, _hash(form), OPEN if opened else QUOTED, _hash(f"{kind} {name}"), len(form.replace("\x00", "").split()) <= 1))
+                    rows.append((doc, _hash(form), OPEN if opened else QUOTED, _hash(f"{kind} {name}"), _hash(low), len(form.replace("\x00", "").split()) <= 1 or any(x[0] in SURE for x in opened)))
                 else:
                     page = not subject and is_page_text(low)
-                    rows.append((doc, _hash(skeleton(p, low)), PAGE if page else FILLED, 0, alone))
+                    rows.append((doc, _hash(skeleton(p, low)), PAGE if page else FILLED, 0, 0, alone))
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), _OUT.types)], schema=_OUT)
 
@@ -209,20 +211,20 @@ def _segment_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def residue(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, slots, page_texts, page_templates) of every document with residue: open slots, segments that are filler, error messages or script notices, and segments of whole-page templates.
 
-    Segments (lines, then sentences) of one template align by their skeleton: marks of slots and values are the same sign in it. An open mark is residue if instances of its template hold values or other marks in its place, if it stands alone, or if its template occurs once; a mark that every instance of a repeated template has alike belongs to what the template says. Quoted marks, as in a report on them, are none. Segments without slot or subject that are the whole of at least three documents and mostly occur so are templates of error pages even without a known message.
+    Segments (lines, then sentences) of one template align by their skeleton: marks of slots and values are the same sign in it. An open mark is residue if its form is a slot's only (SURE), if instances of its template hold values or other marks in its place, if it stands alone, or if its template's segments with marks are all one text, in however many documents; a mark of another form that stays the same where the rest of its template varies belongs to what the template says. Quoted marks, as in a report on them, are none. Segments without slot or subject that are the whole of at least three documents and mostly occur so are templates of error pages even without a known message.
 
     Null and empty texts have no residue; a repeated id is one document, a null id is ignored; fenced code is not looked at. Only skeleton hashes are shuffled."""
-    rows = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).mapInArrow(_segment_rows, "doc_id long, skeleton long, kind byte, filler long, alone boolean")
+    rows = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).mapInArrow(_segment_rows, "doc_id long, skeleton long, kind byte, filler long, segment long, alone boolean")
     rows = materialize(rows)
     marked = rows.where(F.col("kind") == OPEN)
     templates = rows.join(marked.select("skeleton").distinct(), "skeleton", "left_semi").groupBy("skeleton").agg(
         F.sum((F.col("kind") == FILLED).cast("int")).alias("filled"),
-        F.count(F.when(F.col("kind") == OPEN, 1)).alias("opened"),
         (F.min(F.when(F.col("kind") == OPEN, F.col("filler"))) != F.max(F.when(F.col("kind") == OPEN, F.col("filler")))).alias("varied"),
-    ).where((F.col("filled") > 0) | F.col("varied") | (F.col("opened") == 1)).select("skeleton", F.lit(True).alias("slot"))
+        (F.min(F.when(F.col("kind") == OPEN, F.col("segment"))) == F.max(F.when(F.col("kind") == OPEN, F.col("segment")))).alias("one"),
+    ).where((F.col("filled") > 0) | F.col("varied") | F.col("one")).select("skeleton", F.lit(True).alias("slot"))
     slots = marked.join(templates, "skeleton", "left").where(F.col("alone") | F.col("slot")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("slots"))
     pages = rows.where(F.col("kind") == PAGE).groupBy("doc_id").agg(F.count(F.lit(1)).alias("page_texts"))
     whole = rows.where(F.col("kind").isin(FILLED, PAGE)).groupBy("skeleton").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("alone").cast("int")).alias("whole"), F.max("kind").alias("kind")).where((F.col("whole") >= 3) & (F.col("whole") * 2 >= F.col("n")) & (F.col("kind") == PAGE))
-    repeated = rows.where("alone").join(whole.select("skeleton"), "skeleton", "left_semi").groupBy("doc_id").agg(F.count(F.lit(1)).alias("page_templates"))
+    repeated = rows.where(F.col("alone") & F.col("kind").isin(FILLED, PAGE)).join(whole.select("skeleton"), "skeleton", "left_semi").groupBy("doc_id").agg(F.count(F.lit(1)).alias("page_templates"))
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     return slots.join(pages, "doc_id", "full").join(repeated, "doc_id", "full").select(F.col("doc_id").alias(key), zero("slots"), zero("page_texts"), zero("page_templates"))

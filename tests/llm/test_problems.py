@@ -462,3 +462,21 @@ def test_a_template_that_names_marks_alike_is_no_residue(spark):
     assert residue.residue(documents(spark, rows)).collect() == []
     assert residue.residue(documents(spark, [])).collect() == []
     assert residue.residue(documents(spark, [(None, "{{ x }}", None, None), (1, "word " * 100_000 + "lock_a", None, None)])).collect() == []
+
+
+@pytest.mark.parametrize("line", [
+    "Hello {{ customer_name }}, your order has shipped.",
+    "Hello $customer_name$, your order has shipped.",
+    "Hello ${customer_name}, your order has shipped.",
+    "Contact for this page: [insert your name] of the team.",
+])
+@pytest.mark.parametrize("copies", [1, 2, 40])
+def test_unfilled_copies_are_residue_however_many(spark, line, copies):
+    rows = [(i, line, None, None) for i in range(copies)] + [(100 + i, f"{line}\nThe lock of part {i} is held too long.", None, None) for i in range(copies)] + [(900, "The lock is held too long.", None, None)]
+    got = {r.doc_id for r in residue.residue(documents(spark, rows)).collect()}
+    assert got == {r[0] for r in rows if r[0] != 900}
+
+
+def test_a_slot_form_is_residue_where_all_instances_are_unfilled_alike(spark):
+    rows = [(i, f"Hello {{{{ customer_name }}}}, your order {i} has shipped.", None, None) for i in range(6)]
+    assert {r.doc_id for r in residue.residue(documents(spark, rows)).collect()} == set(range(6))
