@@ -87,6 +87,17 @@ SCRIPTS = [
     r"\b(?:without|ohne|sans|sin) (?:javascript|scripts?|skripte|scripting)\b.{0,40}\b(?:empty|blank|leer|vide|vacia|vacio|nothing|not work)",
     r"^checking your browser\b|^verifying (?:you are|that you are) human",
 ]
+#: Words by which a site tells its reader of a failure, a refusal or a wait, or what to do then; evidence only for a text that is whole in several documents.
+CUES = [
+    r"\b(?:errors?|fail(?:s|ed|ure)?|unavailable|unreachable|offline|maintenance|denied|forbidden|unauthori[sz]ed|blocked|banned|expired|timed out|time-?out|not found|not available|no longer (?:available|exists?)|does(?: not|n't) exist|went wrong|could(?: not|n't)|can(?:not|'t| not)|unable to|redirect(?:ed|ing)?|captcha|robots?|are human|cookies?|javascript|under construction|overloaded|outage|too busy)\b",
+    r"\b(?:try(?:ing)? (?:\w+ )?again|retry|refresh|reload|come back|check back|please wait|loading|(?:log|sign) ?in|webmaster|administrators?|support team|our (?:engineers|servers?|team)|apologi[sz]e|inconvenience|sorry|oops)\b",
+    r"\b(?:fehler|fehlgeschlagen|nicht (?:gefunden|verfugbar|erreichbar|moglich)|wartung|gesperrt|abgelaufen|verweigert|neu laden|erneut|anmelden|bitte warten|spater)\b",
+    r"\b(?:erreurs?|echec|echoue|indisponible|introuvable|interdit|expiree?|refuse|reessaye[rz]|recharge[rz]|veuillez|desoles?|connectez-vous)\b",
+    r"\b(?:errores|fallo|fallado|no (?:disponible|encontrad[oa])|denegado|caducad[oa]|intente(?:lo)?|recargue|disculpe|inicie sesion|mantenimiento)\b",
+    r"\b(?:errore|non (?:trovat[oa]|disponibile)|riprova(?:re)?|ricarica(?:re)?|scadut[oa]|negato|manutenzione|erro|nao (?:encontrad[oa]|disponivel)|tente novamente|recarregue|indisponivel|manutencao)\b",
+    r"\b(?:fout|niet (?:gevonden|beschikbaar)|mislukt|opnieuw|geweigerd|onderhoud|blad|nie znaleziono|niedostepn[aey]|sprobuj ponownie|fel|hittades inte|forsok igen|inte tillganglig|ikke (?:funnet|fundet|tilgjengelig)|prov igen)\b",
+    r"ошибк|не наиден|недоступ|попробуите|обновите|доступ запрещен|错误|失败|无法|未找到|请稍后|重试|刷新|エラー|見つかりません|アクセスてきません|再読み込み",
+]
 # Frequent function words of the collection's languages; prose has some in every dozen words.
 FUNCTION_WORDS = set(
     "the a an of to in and or is are was were be for on that with as at by from it this not no has have had but if when which so its their than "
@@ -98,6 +109,7 @@ _MARK = re.compile("|".join(f"(?P<m{i}>{p})" for i, p in enumerate(MARKS)), re.I
 #: What every mark has somewhere.
 _HINT = re.compile(r"[{<\[%$@«(]|__|XX_|todo|fixme|t\.?b\.?[dac]\b", re.I)
 _PAGE = re.compile("|".join(f"(?:{p})" for p in FILLER + ERRORS + SCRIPTS))
+_CUE = re.compile("|".join(CUES))
 _ABOUT = re.compile(r"\w_\w|->|\w\(\)|`|\"|“|”|\bcwe\b|\d+\.\d+\.\d+|\b[0-9a-f]{10,}\b")
 _VALUE = re.compile(r"\w+(?:(?:_|->|\.|-)\w+)+(?:\(\))?|\b(?=[0-9a-f]*\d)[0-9a-f]{6,}\b|\d[\d.,:]*")
 _LEAD = re.compile(r"^(?:\[\d\d:\d\d\]|step=\S+|loss=\S+|[#>*+\-–•\s]+|\d+[.)]\s|<h\d>)+\s*", re.I)
@@ -180,7 +192,7 @@ def skeleton(segment: str, plain: str | None = None) -> str:
 
 
 _GAP = re.compile(r"[^\w\x00]+")
-_OUT = pa.schema([("doc_id", pa.int64()), ("skeleton", pa.int64()), ("kind", pa.int8()), ("filler", pa.int64()), ("segment", pa.int64()), ("alone", pa.bool_())])
+_OUT = pa.schema([("doc_id", pa.int64()), ("skeleton", pa.int64()), ("kind", pa.int8()), ("filler", pa.int64()), ("segment", pa.int64()), ("alone", pa.bool_()), ("cue", pa.bool_())])
 #: Kinds of segment: without mark, with an open mark, with a quoted mark, page text.
 FILLED, OPEN, QUOTED, PAGE = 0, 1, 2, 3
 _hash = lambda s: xxhash.xxh64_intdigest(s) - (1 << 63)
@@ -200,10 +212,11 @@ def _segment_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                     form = skeleton(p)
                     opened = [x for x in found if not x[2]]
                     kind, name, _ = (opened or found)[0]
-                    rows.append((doc, _hash(form), OPEN if opened else QUOTED, _hash(f"{kind} {name}"), _hash(low), len(form.replace("\x00", "").split()) <= 1 or any(x[0] in SURE for x in opened)))
+                    rows.append((doc, _hash(form), OPEN if opened else QUOTED, _hash(f"{kind} {name}"), _hash(low), len(form.replace("\x00", "").split()) <= 1 or any(x[0] in SURE for x in opened), False))
                 else:
                     page = not subject and is_page_text(low)
-                    rows.append((doc, _hash(skeleton(p, low)), PAGE if page else FILLED, 0, 0, alone))
+                    form = skeleton(p, low)
+                    rows.append((doc, _hash(form), PAGE if page else FILLED, 0, 0, alone, alone and "\x00" not in form and len(low) <= 400 and _CUE.search(low) is not None))
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), _OUT.types)], schema=_OUT)
 
@@ -211,10 +224,10 @@ def _segment_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def residue(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, slots, page_texts, page_templates) of every document with residue: open slots, segments that are filler, error messages or script notices, and segments of whole-page templates.
 
-    Segments (lines, then sentences) of one template align by their skeleton: marks of slots and values are the same sign in it. An open mark is residue if its form is a slot's only (SURE), if instances of its template hold values or other marks in its place, if it stands alone, or if its template's segments with marks are all one text, in however many documents; a mark of another form that stays the same where the rest of its template varies belongs to what the template says. Quoted marks, as in a report on them, are none. Segments without slot or subject that are the whole of at least three documents and mostly occur so are templates of error pages even without a known message.
+    Segments (lines, then sentences) of one template align by their skeleton: marks of slots and values are the same sign in it. An open mark is residue if its form is a slot's only (SURE), if instances of its template hold values or other marks in its place, if it stands alone, or if its template's segments with marks are all one text, in however many documents; a mark of another form that stays the same where the rest of its template varies belongs to what the template says. Quoted marks, as in a report on them, are none. Segments that make up at least three documents of few segments and no subject, and mostly occur in such, are templates of error pages even without a known message if they have no values and a word of a failure, a refusal, a wait or what to do then (CUES); without such a word they may be any short text that is repeated.
 
     Null and empty texts have no residue; a repeated id is one document, a null id is ignored; fenced code is not looked at. Only skeleton hashes are shuffled."""
-    rows = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).mapInArrow(_segment_rows, "doc_id long, skeleton long, kind byte, filler long, segment long, alone boolean")
+    rows = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).mapInArrow(_segment_rows, "doc_id long, skeleton long, kind byte, filler long, segment long, alone boolean, cue boolean")
     rows = materialize(rows)
     marked = rows.where(F.col("kind") == OPEN)
     templates = rows.join(marked.select("skeleton").distinct(), "skeleton", "left_semi").groupBy("skeleton").agg(
@@ -224,7 +237,8 @@ def residue(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     ).where((F.col("filled") > 0) | F.col("varied") | F.col("one")).select("skeleton", F.lit(True).alias("slot"))
     slots = marked.join(templates, "skeleton", "left").where(F.col("alone") | F.col("slot")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("slots"))
     pages = rows.where(F.col("kind") == PAGE).groupBy("doc_id").agg(F.count(F.lit(1)).alias("page_texts"))
-    whole = rows.where(F.col("kind").isin(FILLED, PAGE)).groupBy("skeleton").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("alone").cast("int")).alias("whole"), F.max("kind").alias("kind")).where((F.col("whole") >= 3) & (F.col("whole") * 2 >= F.col("n")) & (F.col("kind") == PAGE))
+    each = rows.where(F.col("kind").isin(FILLED, PAGE)).groupBy("skeleton", "doc_id").agg(F.max("alone").alias("alone"), F.max("cue").alias("cue"), F.max("kind").alias("kind"))
+    whole = each.groupBy("skeleton").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("alone").cast("int")).alias("whole"), F.max("kind").alias("kind"), F.max("cue").alias("cue")).where((F.col("whole") >= 3) & (F.col("whole") * 2 >= F.col("n")) & ((F.col("kind") == PAGE) | F.col("cue")))
     repeated = rows.where(F.col("alone") & F.col("kind").isin(FILLED, PAGE)).join(whole.select("skeleton"), "skeleton", "left_semi").groupBy("doc_id").agg(F.count(F.lit(1)).alias("page_templates"))
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     return slots.join(pages, "doc_id", "full").join(repeated, "doc_id", "full").select(F.col("doc_id").alias(key), zero("slots"), zero("page_texts"), zero("page_templates"))

@@ -480,3 +480,26 @@ def test_unfilled_copies_are_residue_however_many(spark, line, copies):
 def test_a_slot_form_is_residue_where_all_instances_are_unfilled_alike(spark):
     rows = [(i, f"Hello {{{{ customer_name }}}}, your order {i} has shipped.", None, None) for i in range(6)]
     assert {r.doc_id for r in residue.residue(documents(spark, rows)).collect()} == set(range(6))
+
+
+@pytest.mark.parametrize("message", [
+    "Our servers are having a bad day, reload in a moment.",
+    "What you wanted failed to arrive.",
+    "Si è verificato un errore imprevisto.",
+    "Deze pagina kon niet gevonden worden, probeer het opnieuw.",
+    "Возникла непредвиденная ошибка.",
+])
+def test_a_repeated_error_page_of_no_list_is_residue(spark, message):
+    assert not residue.is_page_text(residue._plain(message))
+    rows = [(i, f"Menu Help\n{message}\nBack to start", None, None) for i in range(5)] + [(10, message, None, None), (10, message, None, None)]
+    other = [(20 + i, "The lock of the parser is held while the queue grows.", None, None) for i in range(5)]  # repeated, but no page
+    other += [(30, f"We saw it in core_open().\n{message}", None, None), (31, "", None, None)]
+    got = {r.doc_id for r in residue.residue(documents(spark, rows + other)).collect()}
+    assert got == {0, 1, 2, 3, 4, 10}
+
+
+def test_a_text_with_a_cue_in_fewer_documents_or_about_a_subject_is_no_residue(spark):
+    line = "The upload failed and nobody saw why."
+    rows = [(1, line, None, None), (1, line, None, None), (1, f"{line} {line}", None, None), (2, line, None, None)]
+    rows += [(10 + i, "The upload of lock_a failed and nobody saw why it was.", None, None) for i in range(5)]
+    assert residue.residue(documents(spark, rows)).collect() == []
