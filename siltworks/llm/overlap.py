@@ -20,6 +20,8 @@ from siltworks.plans.runtime import materialize
 PASSAGE, SHARD, COMMON, KEPT = 5, 400_000, 256, 0.2
 #: Words from which on a text's passages leave as many words between them as they have.
 SPARSE = 60
+#: Words below which a text's passages are its shingles, one at every word.
+SHORT = 20
 #: Every byte that folding removes.
 _DROPPED = bytes(b for b in range(256) if not (48 <= b <= 57 or 97 <= b <= 122))
 #: Bytes of a word's code, and the ranges of its letters.
@@ -59,26 +61,32 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(seq, letters) -> (seq, passage, pos, n, letters): consecutive passages, the last one ending with the text."""
-    for batch in batches:
-        out = []
-        for seq, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            n = len(raw) // WORD
-            starts = [*range(0, n - PASSAGE + 1, PASSAGE if n < SPARSE else 2 * PASSAGE)] or [0]
-            if starts[-1] + PASSAGE < n:
-                starts.append(n - PASSAGE)
-            for s in starts:
-                code = raw[WORD * s : WORD * (s + PASSAGE)]
-                out.append((seq, s, len(code) // WORD, code))
-        if out:
-            seqs, pos, n, code = zip(*out)
-            padded = np.frombuffer(b"".join(c.ljust(WORD * PASSAGE, b"\0") for c in code), np.uint32).reshape(-1, PASSAGE).astype(np.uint64)
-            key = np.asarray(n, np.uint64)
-            with np.errstate(over="ignore"):
-                for j in range(PASSAGE):
-                    key = mix(key * np.uint64(0x9E3779B97F4A7C15) + padded[:, j])
-            yield pa.RecordBatch.from_arrays([pa.array(seqs, pa.int64()), pa.array(key.view(np.int64)), pa.array(pos, pa.int32()), pa.array(n, pa.int32()), pa.array(code, pa.binary())], names=["seq", "passage", "pos", "n", "letters"])
+def _passages(k: int):
+    """(seq, letters) -> (seq, passage, pos, n, letters): passages of five words, the last one ending with the text; of a short text its runs of k words at every word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for seq, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                n = len(raw) // WORD
+                size, step = (k, 1) if n < SHORT else (PASSAGE, PASSAGE if n < SPARSE else 2 * PASSAGE)
+                starts = [*range(0, n - size + 1, step)] or [0]
+                if starts[-1] + size < n:
+                    starts.append(n - size)
+                for s in starts:
+                    code = raw[WORD * s : WORD * (s + size)]
+                    out.append((seq, s, len(code) // WORD, code))
+            if out:
+                seqs, pos, n, code = zip(*out)
+                width = max(PASSAGE, k)
+                padded = np.frombuffer(b"".join(c.ljust(WORD * width, b"\0") for c in code), np.uint32).reshape(-1, width).astype(np.uint64)
+                key = np.asarray(n, np.uint64)
+                with np.errstate(over="ignore"):
+                    for j in range(width):
+                        key = mix(key * np.uint64(0x9E3779B97F4A7C15) + padded[:, j])
+                yield pa.RecordBatch.from_arrays([pa.array(seqs, pa.int64()), pa.array(key.view(np.int64)), pa.array(pos, pa.int32()), pa.array(n, pa.int32()), pa.array(code, pa.binary())], names=["seq", "passage", "pos", "n", "letters"])
+
+    return run
 
 
 def _keys(raw: bytes, size: int) -> np.ndarray:
@@ -213,7 +221,7 @@ class Overlap:
         if self._links is None:
             held = self.codes.where("held")
             once = held.groupBy("seq").agg(F.min("id").alias("id"))
-            own = materialize(held.join(once, ["seq", "id"], "left_semi").select("seq", "letters").mapInArrow(_passages, "seq long, passage long, pos int, n int, letters binary"))
+            own = materialize(held.join(once, ["seq", "id"], "left_semi").select("seq", "letters").mapInArrow(_passages(self.k), "seq long, passage long, pos int, n int, letters binary"))
             distinct = own.groupBy("passage").agg(F.first("letters").alias("letters"))
             hits = scan_passages(self.codes.where("NOT held"), distinct)
             self._links = (own.drop("letters"), hits)
@@ -236,15 +244,16 @@ class Overlap:
     def near(self) -> DataFrame:
         """Pairs of similar texts that differ in their folded form.
 
-        A held-out text is cut into passages of five words. Texts of a similarity of 0.6 and more have three shingles in five in common, and as an edited word breaks one passage but four shingles, they keep at least a third of the passages; a fifth is asked for. A passage in more than 256 training texts ties nothing by itself unless more than a quarter of its text's passages are such. Candidates are compared exactly."""
+        A held-out text of fewer than 20 words is cut into its shingles, of which a similar text has the share t at least. A longer one is cut into passages of five words: texts of a similarity of 0.6 and more have three shingles in five in common, and as an edited word breaks one passage but four shingles (fewer at the text's ends only), they keep some third of the passages. A fifth is asked for. A passage in more than 256 training texts ties nothing by itself unless more than a quarter of its text's passages are such; it counts as shared with every text that shares another. Candidates are compared exactly."""
         own, hits = self.matches()
         common = hits.groupBy("passage").agg(F.count(F.lit(1)).alias("texts")).where(F.col("texts") > COMMON).select("passage", F.lit(1).alias("common"))
         marked = own.select("seq", "passage").distinct().join(common, "passage", "left")
-        plain = marked.groupBy("seq").agg(F.count(F.lit(1)).alias("all"), F.count("common").alias("many")).where(F.col("many") * 4 > F.col("all")).select("seq", F.lit(1).alias("plain"))
+        counts = marked.groupBy("seq").agg(F.count(F.lit(1)).alias("passages"), F.count("common").alias("many"))
+        plain = counts.where(F.col("many") * 4 > F.col("passages")).select("seq", F.lit(1).alias("plain"))
         used = marked.join(plain, "seq", "left").where(F.col("common").isNull() | F.col("plain").isNotNull()).select("seq", "passage")
-        wanted = used.groupBy("seq").agg(F.count(F.lit(1)).alias("passages"))
+        wanted = counts.select("seq", "passages", F.when(F.col("many") * 4 > F.col("passages"), 0).otherwise(F.col("many")).alias("ignored"))
         shared = used.join(hits, "passage").where(F.col("seq") != F.col("t_seq")).groupBy("seq", "t_seq").agg(F.count(F.lit(1)).alias("shared"))
-        seqs = shared.join(wanted, "seq").where(F.col("shared") >= KEPT * F.col("passages")).select("seq", "t_seq")
+        seqs = shared.join(wanted, "seq").where(F.col("shared") + F.col("ignored") >= KEPT * F.col("passages")).select("seq", "t_seq")
         reps = self.codes.groupBy("seq").agg(F.min("id").alias("rep"), F.first("n").alias("n"))
         e, x = reps.select("seq", F.col("rep").alias("a"), F.col("n").alias("na")), reps.select(F.col("seq").alias("t_seq"), F.col("rep").alias("b"))
         pairs = materialize(seqs.join(e, "seq").join(x, "t_seq").select("a", "b", "seq", "t_seq"))

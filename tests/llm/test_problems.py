@@ -323,6 +323,29 @@ def test_overlap_of_odd_tables(spark):
     assert overlap.Overlap(odd).all().collect() == []
 
 
+@pytest.mark.parametrize("n", [4, 6, 7, 8, 12, 19, 25])
+def test_short_texts_without_their_ends_are_near(spark, n):
+    rows = []
+    for i in range(12):
+        w = [f"w{i}x{j}" for j in range(n + 4)]
+        inner = w[2:-2]
+        rows += [function(10 * i, " ".join(inner)), function(10 * i + 1, " ".join(w[1:-1]), "valid"), function(10 * i + 2, " ".join(w[1:-2]), "test"), function(10 * i + 3, " ".join(["e", *inner[1:-1], "f"]))]
+    split_of = {r[0]: r[1] for r in rows}
+    want = {p for p in brute_near(rows) if (split_of[p[0]] == "train") != (split_of[p[1]] == "train")}
+    got = {(r.id_a, r.id_b) for r in overlap.Overlap(functions(spark, rows), k=4, t=0.6).near().collect()}
+    assert got == want and (want or n < 6)
+
+
+def test_common_passages_count_for_texts_that_share_another(spark):
+    rng = random.Random(2)
+    frame, own = body(rng, 15), [body(rng, 5) for _ in range(12)]  # 15 passages, 3 of them common and 3 others unbroken
+    rows = [function(i, f"{frame} {body(rng, 40)}") for i in range(300)]
+    broken = [w if j > 8 else " ".join([w.split()[0], "q", *w.split()[1:]]) for j, w in enumerate(own)]
+    rows += [function(900, f"{frame} {' '.join(own)}", "test"), function(901, f"{frame} {' '.join(own[10:])}"), function(902, f"{frame} {' '.join(broken)}")]
+    got = overlap.Overlap(functions(spark, rows), k=4, t=0.2).near()
+    assert {(r.id_a, r.id_b) for r in got.collect()} >= {p for p in brute_near(rows[-3:], t=0.2) if 900 in p} != set()
+
+
 @pytest.mark.parametrize("n", [1, 3, 5, 59, 60, 100, 203])
 def test_a_copied_text_is_covered_whole(spark, n):
     rng = random.Random(n)
