@@ -181,7 +181,7 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, t: float) -> DataFrame:
 def near_links(df: DataFrame, key: str = "fn_id", text: str = "func", k: int = 5, t: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """(links, members): links (a, b, similarity), a < b, between class representatives whose sets of k-word shingles have a Jaccard similarity of at least t and whose folded texts differ; members (rep, id) of every row with words, where a class holds the rows of the same word sequence and its least id represents it.
 
-    Each set gives its sketch's words (siltworks.llm.sketch) for its size band and those above that may hold a similar set; sets that share two words (one in band 0) are candidates. At similarity t exactly a pair shares a dozen words on average, and misses with a chance of some 1e-4; above t the chance falls fast; in band 0 none is missed. Words shared by more than 32 sets tie nothing by themselves: of two sets that share them, the other words decide, unless more than a tenth of a set's words are such; those sets are joined on the crowded words too, in salted blocks. Candidates are compared by parity sketch, then exactly.
+    Each set gives its sketch's words (siltworks.llm.sketch) for its size band and those above that may hold a similar set; sets that share two words (one in band 0) are candidates. At similarity t exactly a pair shares a dozen words on average, and misses with a chance of some 1e-4; above t the chance falls fast; in band 0 none is missed. Words shared by more than 32 sets lose no pair either: sets with two such words (in band 0 one) are joined on them, in salted blocks, and they count for two sets that share one other word. Candidates are compared by parity sketch, then exactly.
 
     Rows without words (null, empty, other scripts) are in no class; a null id is ignored; repeated ids count once a text. Copies move as one row for each batch."""
     texts = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where(F.col("id").isNotNull())
@@ -195,7 +195,7 @@ def near_links(df: DataFrame, key: str = "fn_id", text: str = "func", k: int = 5
 
     crowded = found.where(F.col("kind") == CROWDED).select(F.col("a").alias("id"), F.col("b").alias("key"), F.col("weight").alias("aux"))
     n = F.col("aux").bitwiseAND(F.lit(_LOW24))
-    crowd_docs = crowded.groupBy("id", "aux").agg(F.count(F.lit(1)).alias("hot")).where(F.col("hot") * 10 >= F.when(n <= sketch.FIRST, (1 - t) * n + 1).otherwise(F.least(F.lit(float(USED)), n) * 0.5))
+    crowd_docs = crowded.groupBy("id", "aux").agg(F.count(F.lit(1)).alias("hot")).where((F.col("hot") >= 2) | (n <= sketch.FIRST))
     rest = crowded.join(crowd_docs.select("id"), "id", "left_semi")
     blocks = 8
     l = rest.select(F.col("id").alias("a"), "key", n.alias("na"), F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"))
@@ -203,7 +203,10 @@ def near_links(df: DataFrame, key: str = "fn_id", text: str = "func", k: int = 5
     both = l.join(r, ["key", "block"]).where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= t * F.greatest("na", "nb") - 1e-9))
     extra = both.groupBy("a", "b").agg(F.sum(F.when(F.greatest("na", "nb") <= sketch.FIRST, 2).otherwise(1)).alias("weight"))
     direct = found.where(F.col("kind") == PAIR).groupBy("a", "b").agg(F.sum("weight").alias("weight"))
-    pairs = materialize(direct.unionByName(extra).groupBy("a", "b").agg(F.sum("weight").alias("weight")).where(F.col("weight") >= 2).select("a", "b"))
+    # two sets that share one other word: the crowded words that they share count too
+    x, y = crowded.select(F.col("id").alias("a"), "key").distinct(), crowded.select(F.col("id").alias("b"), "key").distinct()
+    lifted = direct.where("weight = 1").select("a", "b").join(x, "a").join(y, ["b", "key"]).groupBy("a", "b").agg(F.count(F.lit(1)).alias("weight"))
+    pairs = materialize(direct.unionByName(extra).unionByName(lifted).groupBy("a", "b").agg(F.sum("weight").alias("weight")).where(F.col("weight") >= 2).select("a", "b"))
     return verified(pairs, texts, k, t), members
 
 

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siltworks.llm import formats, leakage, mixing, near, overlap, pieces, quota, residue, split
+from siltworks.llm.shingles import shingle_sets
 
 FUNCTIONS = "fn_id long, split string, func string, target int, cwe array<string>, project string, commit_id string, big_vul_idx string, hash string"
 DOCS = "doc_id long, text string, lang string, source string"
@@ -201,6 +202,23 @@ def test_near_crowded_words(spark):
     assert got == want and len(want) == 60 * 59 // 2
 
 
+def test_near_of_small_sets_that_share_one_crowded_word(spark):
+    rng = random.Random(5)
+    place = lambda w: int(shingle_sets([" ".join(w)], 4)[1][0]) / 2**64
+    word = lambda: f"v{rng.randrange(10**6)}"
+    w = [word(), word(), word()]
+    for low, high in [(0, 0.25)] * 12 + [(0.25, 0.5)] + [(0.5, 1)] * 19:  # the longer text's prefix: the first 13 shingles
+        w.append(next(x for x in iter(word, None) if low < place([*w[-3:], x]) < high))
+    one, texts = w[12:16], [w, w[12:]]
+    while len(texts) < 60:
+        t = [*one, word(), word()]
+        if min(place(t[i : i + 4]) for i in (1, 2)) > place(one):
+            texts.append(t)
+    rows = [function(i, " ".join(t)) for i, t in enumerate(texts)]
+    want = brute_near(rows)
+    assert (0, 1) in want and {(r.id_a, r.id_b) for r in near.near_pairs(functions(spark, rows), k=4, t=0.6).collect()} == want
+
+
 def test_near_groups_and_odd_tables(spark):
     rows = corpus(n=6)
     got = {r.fn_id: r for r in near.near_groups(functions(spark, rows), k=4, t=0.6).collect()}
