@@ -202,11 +202,15 @@ def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def _search(shared):
-    """(id, words) -> (doc_id, item_id, cosine, run, subsequence, answer) of every document and item of the block with passages whose latent cosine reaches the threshold."""
+    """(id, words) -> (doc_id, item_id, cosine, run, subsequence, answer) of every document and item of the block with passages whose latent cosine reaches the threshold, or with a run of 12 words in common."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf, basis, owner, queries, items = shared.value  # items: id -> (words, words of the answer)
         held = [(set(w.tolist()), set(_runs(w).tolist())) for _, w, _ in items]
+        with_run: dict[int, list[int]] = {}
+        for k, (_, own_runs) in enumerate(held):
+            for r in own_runs:
+                with_run.setdefault(r, []).append(k)
         for batch in batches:
             ids, raws = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for own in _steps(raws):
@@ -227,6 +231,10 @@ def _search(shared):
                     for p, c in zip(pair[first].tolist(), np.maximum.reduceat(sim[i, j][order], first).tolist()):
                         k = divmod(p, len(items))
                         found[k] = max(found.get(k, 0.0), c)
+                for d, text in enumerate(texts):  # a leak is one whatever its passages' cosine
+                    for k in {k for r in with_run.keys() & set(_runs(text).tolist()) for k in with_run[r]}:
+                        if (d, k) not in found:
+                            found[d, k] = float((vectors[whose == d] @ queries[owner == k].T).max())
                 rows = []
                 bags: dict[int, tuple[set, set]] = {}
                 for (d, k), c in found.items():
@@ -254,7 +262,7 @@ def _search(shared):
 def leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", item_key: str = "item_id", text: str = "text") -> DataFrame:
     """(doc_id, item_id, cosine, run, subsequence, answer) of the documents and items that retrieval brings together.
 
-    All documents are cut into passages of 12 words at every fourth word; a run of 12 words of an item shares nine or more words with one of the item's own passages (one at every other word and the last), whose latent cosine stays above the threshold of 0.75. run: the longest run of consecutive shared words (12 or more: a leak); subsequence: the longest common subsequence against the item's length (a paraphrase from 0.6 on with an answer share of 0.8); answer: the share of the words of the item's last sentence in the document. Items are searched in blocks of at most 16,384 passages, each of bounded size on the workers. Null, empty and wordless texts leak nothing; repeated documents each count; an item of fewer than 12 words has one passage and cannot reach a run of 12."""
+    All documents are cut into passages of 12 words at every fourth word; a run of 12 words of an item shares nine or more words with one of the item's own passages (one at every other word and the last), whose latent cosine mostly stays above the threshold of 0.75; as it does not for some runs of just 12 words, equal runs of 12 words bring documents and items together too. run: the longest run of consecutive shared words (12 or more: a leak); subsequence: the longest common subsequence against the item's length (a paraphrase from 0.6 on with an answer share of 0.8); answer: the share of the words of the item's last sentence in the document. Items are searched in blocks of at most 16,384 passages, each of bounded size on the workers. Null, empty and wordless texts leak nothing; repeated documents each count; an item of fewer than 12 words has one passage and cannot reach a run of 12."""
     spark = documents.sparkSession
     words = encoded(documents, key, text)
     idf = inverse_frequencies(words)

@@ -426,6 +426,26 @@ def test_leaks_equal_brute_force(spark):
     assert leakage.leaks(documents(spark, rows[:3]), it.where("false")).collect() == []
 
 
+def test_a_run_is_a_leak_whatever_its_cosine(spark, monkeypatch):
+    rng = random.Random(4)
+    w = [[f"w{rng.randrange(500)}" for _ in range(40)] for _ in range(6)]
+    rows = [(i, " ".join(w[0][i : i + 20] + w[1][5 : 5 + n] + w[2][:20]), "en", "s") for i, n in enumerate([11, 12, 12, 30])]
+    monkeypatch.setattr(leakage, "COSINE", 2.0)  # retrieval alone finds nothing
+    search = leakage._search(type("Shared", (), {"value": _block(spark, rows, w[1])})())
+    words = leakage.encoded(documents(spark, rows), "doc_id", "text").toArrow().to_batches()
+    got = {(d, r) for b in search(iter(words)) for d, r in zip(b.column(0).to_pylist(), b.column(3).to_pylist())}
+    assert got == {(1, 12), (2, 12), (3, 30)}
+
+
+def _block(spark, rows, item):
+    words = leakage.encoded(documents(spark, rows), "doc_id", "text")
+    idf = leakage.inverse_frequencies(words)
+    basis = leakage.latent_basis(words, idf)
+    w = leakage.word_hashes(" ".join(item), {})
+    starts = np.arange(len(w) - leakage.RUN + 1)
+    return idf, basis, np.zeros(len(starts), int), leakage._windows(w, starts, idf, basis), [(7, w, w[-5:])]
+
+
 def test_common_subsequence():
     a, b = np.array([1, 9, 2, 3, 8, 4], np.uint64), np.array([1, 2, 3, 4, 5], np.uint64)
     assert leakage.common_subsequence(a, b) == 4 and leakage.longest_run(a, b) == 2
