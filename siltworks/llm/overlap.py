@@ -14,14 +14,12 @@ from pyspark.sql import functions as F
 from siltworks.functions.text import commit_key, label_key, number_key
 from siltworks.llm.near import verified
 from siltworks.llm.shingles import chunks, mix, words
-from siltworks.plans.runtime import materialize
-
-#: Words of a passage, passages of one automaton, training texts beyond which a passage is common, and the least share of a held-out text's passages that a training text must have.
-PASSAGE, SHARD, COMMON, KEPT = 5, 400_000, 256, 0.2
-#: Words from which on a text's passages leave as many words between them as they have.
-SPARSE = 60
-#: Words below which a text's passages are its shingles, one at every word.
-SHORT = 20
+from siltworks.plans.runtime import materialize, shuffle_partitions
+
+#: Words of a coverage passage, passages of one automaton, and bytes of text that one automaton is given.
+PASSAGE, SHARD, LOAD = 5, 400_000, 64 << 20
+#: Slots of the table of frequencies and words of 64 bits of the map of passages: both of one size whatever the input's.
+SLOTS, MAP = 1 << 20, 1 << 20
 #: Every byte that folding removes.
 _DROPPED = bytes(b for b in range(256) if not (48 <= b <= 57 or 97 <= b <= 122))
 #: Bytes of a word's code, and the ranges of its letters.
@@ -39,144 +37,229 @@ def _strings(codes: list[bytes]) -> list[str]:
     return out
 
 
-def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, held, text) -> (id, held, seq, n, fold, letters); fold: a digest of the folded text. Texts without words give no row."""
-    for batch in batches:
-        texts = batch.column(2).to_pylist()
-        for a, b in chunks(texts):
-            h, doc = words(texts[a:b])
-            count = np.bincount(doc, minlength=b - a)
-            at = np.concatenate([[0], np.cumsum(count)])
-            letters = h.astype(np.uint32)
-            has = np.flatnonzero(count)
-            if not len(has):
-                continue
-            with np.errstate(over="ignore"):
-                pos = np.arange(len(h)) - at[doc]
-                seq = mix(np.add.reduceat(h * (mix((pos + 1).astype(np.uint64)) | np.uint64(1)), at[has])).view(np.int64)
-            sel = pa.array(has)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0)[a:b].take(sel), batch.column(1)[a:b].take(sel), pa.array(seq), pa.array(count[has].astype(np.int32)), pa.array([hashlib.blake2b((texts[a + i] or "").lower().encode().translate(None, _DROPPED), digest_size=16).digest() for i in has], pa.binary()), pa.array([letters[at[i] : at[i + 1]].tobytes() for i in has], pa.binary())],
-                names=["id", "held", "seq", "n", "fold", "letters"],
-            )
-
-
-def _passages(k: int):
-    """(seq, letters) -> (seq, passage, pos, n, letters): passages of five words, the last one ending with the text; of a short text its runs of k words at every word."""
+def _encode(k: int):
+    """(id, held, text) -> (id, held, seq, n, grams, fold, letters); grams: the number of distinct runs of k words, fold: a digest of the folded text. Texts without words give no row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for seq, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                n = len(raw) // WORD
-                size, step = (k, 1) if n < SHORT else (PASSAGE, PASSAGE if n < SPARSE else 2 * PASSAGE)
-                starts = [*range(0, n - size + 1, step)] or [0]
-                if starts[-1] + size < n:
-                    starts.append(n - size)
-                for s in starts:
-                    code = raw[WORD * s : WORD * (s + size)]
-                    out.append((seq, s, len(code) // WORD, code))
-            if out:
-                seqs, pos, n, code = zip(*out)
-                width = max(PASSAGE, k)
-                padded = np.frombuffer(b"".join(c.ljust(WORD * width, b"\0") for c in code), np.uint32).reshape(-1, width).astype(np.uint64)
-                key = np.asarray(n, np.uint64)
+            texts = batch.column(2).to_pylist()
+            for a, b in chunks(texts):
+                h, doc = words(texts[a:b])
+                count = np.bincount(doc, minlength=b - a)
+                at = np.concatenate([[0], np.cumsum(count)])
+                letters = h.astype(np.uint32)
+                has = np.flatnonzero(count)
+                if not len(has):
+                    continue
                 with np.errstate(over="ignore"):
-                    for j in range(width):
-                        key = mix(key * np.uint64(0x9E3779B97F4A7C15) + padded[:, j])
-                yield pa.RecordBatch.from_arrays([pa.array(seqs, pa.int64()), pa.array(key.view(np.int64)), pa.array(pos, pa.int32()), pa.array(n, pa.int32()), pa.array(code, pa.binary())], names=["seq", "passage", "pos", "n", "letters"])
+                    pos = np.arange(len(h)) - at[doc]
+                    seq = mix(np.add.reduceat(h * (mix((pos + 1).astype(np.uint64)) | np.uint64(1)), at[has])).view(np.int64)
+                raws = [letters[at[i] : at[i + 1]].tobytes() for i in has]
+                owner, _, key, _ = _grams(raws, k)
+                ends = np.searchsorted(owner, np.arange(len(has) + 1))
+                grams = [len(np.unique(key[x:y])) for x, y in zip(ends[:-1].tolist(), ends[1:].tolist())]
+                sel = pa.array(has)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0)[a:b].take(sel), batch.column(1)[a:b].take(sel), pa.array(seq), pa.array(count[has].astype(np.int32)), pa.array(grams, pa.int32()), pa.array([hashlib.blake2b((texts[a + i] or "").lower().encode().translate(None, _DROPPED), digest_size=16).digest() for i in has], pa.binary()), pa.array(raws, pa.binary())],
+                    names=["id", "held", "seq", "n", "grams", "fold", "letters"],
+                )
 
     return run
 
 
-def _keys(raw: bytes, size: int) -> np.ndarray:
-    """The hash of every run of size words of a text's letters, in order."""
-    codes = np.frombuffer(raw, np.uint32).astype(np.uint64)
-    runs = max(0, len(codes) - size + 1)
-    key = np.full(runs, size, np.uint64)
+def _grams(raws: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, place in the joined words, hash) of every run of k words of the texts' letters, in order, and the joined words."""
+    count = np.asarray([len(r) // WORD for r in raws], np.int64)
+    codes = np.frombuffer(b"".join(raws), np.uint32)
+    first = np.cumsum(count) - count
+    n = max(0, len(codes) - k + 1)
+    wide = codes.astype(np.uint64)
+    key = np.full(n, k, np.uint64)
     with np.errstate(over="ignore"):
-        for j in range(size):
-            key = mix(key * np.uint64(0x9E3779B97F4A7C15) + codes[j : j + runs])
-    return key.view(np.int64)
+        for j in range(k):
+            key = mix(key * np.uint64(0x9E3779B97F4A7C15) + wide[j : j + n])
+    owner = np.repeat(np.arange(len(raws)), count)[:n]
+    at = np.flatnonzero(np.arange(n) - first[owner] + k <= count[owner])
+    return owner[at], at, key[at], codes
 
 
-def _held_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(seq, letters) -> (seq, pos, n, passage) of the passage at every word; a text of fewer words is one passage."""
-    for batch in batches:
-        seqs, raws = batch.column(0).to_numpy(), batch.column(1).to_pylist()
-        for first in range(0, len(raws), 500):
-            part = raws[first : first + 500]
-            sizes = np.array([min(PASSAGE, len(raw) // WORD) for raw in part], np.int32)
-            keys = [_keys(raw, size) for raw, size in zip(part, sizes.tolist())]
-            count = [len(key) for key in keys]
-            pos = np.concatenate([np.arange(n, dtype=np.int32) for n in count])
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(seqs[first : first + 500], count)), pa.array(pos), pa.array(np.repeat(sizes, count)), pa.array(np.concatenate(keys))], names=["seq", "pos", "n", "passage"])
+def _steps(raws: list[bytes]) -> Iterator[tuple[int, int]]:
+    """Consecutive index ranges of some 500,000 words (a longer text comes alone)."""
+    first, size = 0, 0
+    for i, r in enumerate(raws):
+        if size and size + len(r) > 500_000 * WORD:
+            yield first, i
+            first, size = i, 0
+        size += len(r)
+    if first < len(raws):
+        yield first, len(raws)
 
 
-def _train_runs(sizes: list[int]):
-    """(letters) -> (passage) of every run of each size, once a batch at least."""
+def _frequencies(k: int):
+    """(letters) -> (slot, n): how often runs of k words fall in each slot."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = [_keys(raw, size) for raw in set(batch.column(0).to_pylist()) for size in sizes]
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(keys)))], names=["passage"])
+            raws = batch.column(0).to_pylist()
+            for a, b in _steps(raws):
+                slot, n = np.unique(_grams(raws[a:b], k)[2] & np.uint64(SLOTS - 1), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int32)), pa.array(n.astype(np.int64))], names=["slot", "n"])
 
     return run
 
 
-_built: dict[int, object] = {}
+def _least(n, t: float):
+    """The least number of a set's n members that a set of similarity t shares."""
+    return np.ceil(t * n - 1e-9).astype(np.int64)
 
 
-def _automaton(shard):
-    """This worker's automaton of a broadcast shard; the one before is dropped."""
-    import ahocorasick
+def _prefixes(k: int, t: float, shared):
+    """(seq, letters) -> (seq, grams, passage, letters): the n - ceil(t * n) + 1 rarest of a text's n distinct runs of k words; a similar text has one of them at least."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = shared.value
+        for batch in batches:
+            seqs, raws = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+            for a, b in _steps(raws):
+                owner, at, key, codes = _grams(raws[a:b], k)
+                order = np.lexsort((key, table[(key & np.uint64(SLOTS - 1)).astype(np.int64)], owner))
+                owner, at, key = owner[order], at[order], key[order]
+                new = np.ones(len(key), bool)
+                new[1:] = (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])
+                owner, at, key = owner[new], at[new], key[new]
+                n = np.bincount(owner, minlength=b - a)
+                first = np.cumsum(n) - n
+                keep = np.arange(len(key)) - first[owner] < (n - _least(n, t) + 1)[owner]
+                owner, at, key = owner[keep], at[keep], key[keep]
+                raw = codes[at[:, None] + np.arange(k)].tobytes()
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(seqs[a:b][owner]), pa.array(n[owner].astype(np.int32)), pa.array(key.view(np.int64)), pa.array([raw[i : i + WORD * k] for i in range(0, len(raw), WORD * k)], pa.binary())],
+                    names=["seq", "grams", "passage", "letters"],
+                )
 
-    if shard.value[0] not in _built:
-        _built.clear()
-        a = ahocorasick.Automaton()
-        for i, passage in enumerate(_strings(shard.value[2])):
-            a.add_word(passage, i)
-        a.make_automaton()
-        _built[shard.value[0]] = a
-    return _built[shard.value[0]]
+    return run
 
 
-def _find(shard):
-    """(seq, letters) -> (passage, seq) of every passage of the shard in a training text; copies within a batch are scanned once."""
+def _all_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(seq, letters) -> (seq, pos, n, passage, letters) of the passage at every word; a text of fewer words is one passage."""
+    for batch in batches:
+        seqs, raws = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+        for size in range(1, PASSAGE + 1):
+            of = [i for i, r in enumerate(raws) if len(r) // WORD == size or (size == PASSAGE and len(r) // WORD > size)]
+            for a, b in _steps([raws[i] for i in of]):
+                part = of[a:b]
+                count = np.asarray([len(raws[i]) // WORD for i in part])
+                owner, at, key, codes = _grams([raws[i] for i in part], size)
+                raw = codes[at[:, None] + np.arange(size)].tobytes()
+                step = WORD * size
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(seqs[part][owner]), pa.array((at - (np.cumsum(count) - count)[owner]).astype(np.int32)), pa.array(np.full(len(at), size, np.int32)), pa.array(key.view(np.int64)), pa.array([raw[i : i + step] for i in range(0, len(raw), step)], pa.binary())],
+                    names=["seq", "pos", "n", "passage", "letters"],
+                )
+
+
+def _stretches(sizes: list[int], shards: int, shared):
+    """(seq, grams, letters) -> (shard, seq, grams, letters): for each shard the places of a text where the map of passages allows one of it, runs that overlap written once and the others apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
         for batch in batches:
-            automaton, keys = _automaton(shard), shard.value[1]
+            seqs, grams, raws = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_pylist()
+            for a, b in _steps(raws):
+                for k in sizes:
+                    owner, at, key, codes = _grams(raws[a:b], k)
+                    place = (key & np.uint64(64 * MAP - 1)).astype(np.int64)
+                    hit = np.flatnonzero((bits[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1))
+                    if not len(hit):
+                        continue
+                    owner, at = owner[hit], at[hit]
+                    shard = ((key[hit] >> np.uint64(32)) % np.uint64(shards)).astype(np.int64)
+                    order = np.lexsort((at, shard, owner))
+                    owner, at, shard = owner[order], at[order], shard[order]
+                    new = np.ones(len(at), bool)
+                    new[1:] = (owner[1:] != owner[:-1]) | (shard[1:] != shard[:-1])
+                    ahead = np.concatenate([[0], at[1:] - at[:-1]])
+                    joined = ~new & (ahead < k)
+                    # words that a place adds: all of it, after a word that is none, or what goes beyond the place before
+                    size = np.where(new, k, np.where(joined, ahead, k + 1))
+                    ends = np.cumsum(size)
+                    back = np.repeat(ends, size) - np.arange(ends[-1])  # k + 1 at the word between
+                    source = np.repeat(at + k, size) - back
+                    text = np.where(back > k, np.uint32(0), codes[np.maximum(source, 0)]).astype(np.uint32)
+                    start = np.flatnonzero(new)
+                    offsets = np.concatenate([(ends - size)[start], ends[-1:]]) * WORD
+                    letters = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(text.tobytes())])
+                    who = a + owner[start]
+                    yield pa.RecordBatch.from_arrays([pa.array(shard[start].astype(np.int32)), pa.array(seqs[who]), pa.array(grams[who]), letters], names=["shard", "seq", "grams", "letters"])
+
+    return run
+
+
+def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (shard, salt, kind, key, grams, letters) sorted by the first three, a shard's passages (kind 0) before its texts (kind 1) -> (passage, t_seq, t_grams) of every passage in a text."""
+    import ahocorasick
+
+    now, keys, codes, automaton = None, [], [], None
+    for batch in batches:
+        shard = batch.column(0).to_numpy().astype(np.int64) << 32 | batch.column(1).to_numpy()
+        kind = batch.column(2).to_numpy()
+        edges = np.flatnonzero(np.concatenate([[True], (shard[1:] != shard[:-1]) | (kind[1:] != kind[:-1])])).tolist() + [len(shard)]
+        for a, b in zip(edges[:-1], edges[1:]):
+            if b <= a:
+                continue
+            if shard[a] != now:
+                now, keys, codes, automaton = shard[a], [], [], None
+            part, letters = batch.column(3)[a:b].to_numpy(), batch.column(5)[a:b].to_pylist()
+            if kind[a] == 0:
+                keys.append(part)
+                codes.extend(letters)
+                continue
+            if not codes:
+                continue
+            if automaton is None:
+                automaton = ahocorasick.Automaton()
+                for i, passage in enumerate(_strings(codes)):
+                    automaton.add_word(passage, i)
+                automaton.make_automaton()
+                known = np.concatenate(keys)
             which, where = [], []
-            texts = dict(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
-            for seq, letters in zip(texts, _strings(list(texts.values()))):
-                hits = {i for _, i in automaton.iter(letters)}
+            for i, text in enumerate(_strings(letters)):
+                hits = {j for _, j in automaton.iter(text)}
                 which.extend(hits)
-                where.extend([seq] * len(hits))
+                where.extend([i] * len(hits))
             if which:
-                yield pa.RecordBatch.from_arrays([pa.array(keys[np.asarray(which)]), pa.array(where, pa.int64())], names=["passage", "t_seq"])
-
-    return run
+                yield pa.RecordBatch.from_arrays([pa.array(known[which]), pa.array(part[where]), pa.array(batch.column(4)[a:b].to_numpy()[where])], names=["passage", "t_seq", "t_grams"])
 
 
 def scan_passages(train: DataFrame, passages: DataFrame) -> DataFrame:
-    """(passage, t_seq): which passages (passage, letters; distinct) occur in which training texts (seq, letters).
+    """(passage, t_seq, t_grams): which passages (passage, letters; distinct) occur in which training texts (seq, grams, letters; a text once).
 
-    The passages are dealt into shards of about 400,000; each shard in turn goes to the workers (its size is bounded), becomes an Aho-Corasick automaton there and scans all training texts."""
+    The passages are dealt into shards of at most some 400,000, each of which becomes one Aho-Corasick automaton in one task and scans the training texts there. A map of fixed size, one bit for each passage's hash, tells at which places of a text a passage of a shard may stand; only those places go to the shard, so the work does not grow with the number of automata while the map is sparse (some 30 million passages; beyond, more places are scanned in vain and none is missed). A shard with more text than LOAD is built in several tasks, which share its texts."""
     spark = train.sparkSession
-    shards = max(1, -(-passages.count() // SHARD))
-    dealt = passages.withColumn("shard", F.pmod(F.xxhash64("passage"), F.lit(shards)))
-    found = None
-    for s in range(shards):
-        part = dealt.where(F.col("shard") == s).select("passage", "letters").toArrow()
-        if not part.num_rows:
-            continue
-        value = spark.sparkContext.broadcast(((s, id(dealt)), part.column(0).to_numpy(), part.column(1).to_pylist()))
-        hits = materialize(train.select("seq", "letters").mapInArrow(_find(value), "passage long, t_seq long").distinct())
-        value.unpersist()
-        found = hits if found is None else found.unionByName(hits)
-    return found if found is not None else spark.createDataFrame([], "passage long, t_seq long")
+    passages = materialize(passages)
+    n = passages.count()
+    if not n:
+        return spark.createDataFrame([], "passage long, t_seq long, t_grams int")
+    shards = max(shuffle_partitions(spark), -(-n // SHARD))
+    place = F.col("passage").bitwiseAND(F.lit(64 * MAP - 1))
+    rows = passages.groupBy(F.shiftright(place, 6).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(passage & 63 AS INT))")).alias("bits")).toArrow()  # at most MAP rows
+    bits = np.zeros(MAP, np.uint64)
+    bits[rows.column(0).to_numpy()] = rows.column(1).to_numpy().view(np.uint64)
+    sizes = sorted(r.k for r in passages.select((F.length("letters") / WORD).cast("int").alias("k")).distinct().collect())  # PASSAGE or shingle sizes
+    shared = spark.sparkContext.broadcast(bits)
+    texts = materialize(train.select("seq", "grams", "letters").mapInArrow(_stretches(sizes, shards, shared), "shard int, seq long, grams int, letters binary"), "lz4")
+    dealt = passages.withColumn("shard", F.pmod(F.shiftrightunsigned("passage", 32), F.lit(shards)).cast("int"))
+    load = texts.groupBy("shard").agg((F.sum(F.length("letters") + 24) / LOAD).cast("int").alias("extra")).where("extra > 0")
+    heavy = {r.shard: r.extra + 1 for r in load.collect()}  # shards that need several tasks
+    parts = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in heavy.items() for x in kv]), F.col("shard")), F.lit(1)) if heavy else F.lit(1)
+    left = dealt.select("shard", F.explode(F.sequence(F.lit(0), parts - 1)).alias("salt"), F.lit(0).alias("kind"), F.col("passage").alias("key"), F.lit(0).alias("grams"), "letters")
+    right = texts.select("shard", F.pmod(F.xxhash64("seq"), parts).cast("int").alias("salt"), F.lit(1).alias("kind"), F.col("seq").alias("key"), "grams", "letters")
+    tasks = max(shuffle_partitions(spark), shards + sum(heavy.values()) - len(heavy))
+    return materialize(left.unionByName(right).repartition(tasks, "shard", "salt").sortWithinPartitions("shard", "salt", "kind").mapInArrow(_find, "passage long, t_seq long, t_grams int"))
+
+
+#: Values of one kind and key agree: always, but for commits of 40 digits with other ends.
+_AGREE = "fa IS NULL OR fa = fb OR length(fa) <> length(fb)"
 
 
 class Overlap:
@@ -190,19 +273,22 @@ class Overlap:
         self.rows = df.where(split.isin(train, *held) & F.col(key).isNotNull()).withColumn("__held", split != train)
         self._codes = self._links = None
 
-    def equal(self) -> DataFrame:
-        """(kind, id_a, id_b) of a training and a held-out row with the same folded text, hash value, commit or record number.
-
-        All kinds are matched in one join. Null values agree with nothing. Commits meet by their first 12 digits: 12 agree with 12 and with every 40 that begin with them."""
+    def _values(self) -> DataFrame:
+        """(id, held, kind, v, full) of every value by which rows may agree."""
         keys = self.rows.select(F.col(self.key).cast("long").alias("id"), F.col("__held").alias("held"), number_key(F.col("hash")).alias("h"), commit_key(F.col("commit_id")).alias("c"), number_key(F.col("big_vul_idx"), decimal_zero=True).alias("b"))
         entry = lambda kind, value, full: F.struct(F.lit(kind).alias("kind"), value.alias("v"), full.alias("full"))
         none = F.lit(None).cast("string")
         all_ = F.array(entry("hash", F.col("h"), none), entry("commit_id", F.left("c", F.lit(12)), F.col("c")), entry("big_vul_idx", F.col("b"), none))
         rows = keys.select("id", "held", F.inline(all_)).where(F.col("v").isNotNull())
-        rows = rows.unionByName(self.codes.select("id", "held", F.lit("same").alias("kind"), F.hex("fold").alias("v"), none.alias("full")))
-        rows = materialize(rows)
+        return rows.unionByName(self.codes.select("id", "held", F.lit("same").alias("kind"), F.hex("fold").alias("v"), none.alias("full")))
+
+    def equal(self) -> DataFrame:
+        """(kind, id_a, id_b) of a training and a held-out row with the same folded text, hash value, commit or record number.
+
+        All kinds are matched in one join. Null values agree with nothing. Commits meet by their first 12 digits: 12 agree with 12 and with every 40 that begin with them."""
+        rows = materialize(self._values())
         a, b = rows.where("NOT held").select("kind", "v", F.col("full").alias("fa"), F.col("id").alias("x")), rows.where("held").select("kind", "v", F.col("full").alias("fb"), F.col("id").alias("y"))
-        j = a.join(b, ["kind", "v"]).where(F.col("fa").isNull() | (F.col("fa") == F.col("fb")) | (F.length("fa") != F.length("fb")))
+        j = a.join(b, ["kind", "v"]).where(_AGREE)
         return j.select("kind", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
 
     def _pairs(self, kind: str, j: DataFrame) -> DataFrame:
@@ -210,68 +296,72 @@ class Overlap:
 
     @property
     def codes(self) -> DataFrame:
-        """(id, held, seq, n, fold, letters) of the normalised texts, four bytes a word."""
+        """(id, held, seq, n, grams, fold, letters) of the normalised texts, four bytes a word."""
         if self._codes is None:
             rows = self.rows.select(F.col(self.key).cast("long").alias("id"), F.col("__held").alias("held"), F.col(self.text).alias("text")).where(F.col("text").isNotNull())
-            self._codes = materialize(rows.mapInArrow(_encode, "id long, held boolean, seq long, n int, fold binary, letters binary"))
+            self._codes = materialize(rows.mapInArrow(_encode(self.k), "id long, held boolean, seq long, n int, grams int, fold binary, letters binary"))
         return self._codes
 
-    def matches(self) -> tuple[DataFrame, DataFrame]:
-        """((seq, passage, pos, n) of the held-out texts' passages, (passage, t_seq) of their occurrences in training texts)."""
-        if self._links is None:
-            held = self.codes.where("held")
-            once = held.groupBy("seq").agg(F.min("id").alias("id"))
-            own = materialize(held.join(once, ["seq", "id"], "left_semi").select("seq", "letters").mapInArrow(_passages(self.k), "seq long, passage long, pos int, n int, letters binary"))
-            distinct = own.groupBy("passage").agg(F.first("letters").alias("letters"))
-            hits = scan_passages(self.codes.where("NOT held"), distinct)
-            self._links = (own.drop("letters"), hits)
-        return self._links
+    def _once(self, which: str) -> DataFrame:
+        """The held-out or training texts, equal word sequences once."""
+        first = [F.first(c).alias(c) for c in ("n", "grams", "letters")]
+        return self.codes.where(which).groupBy("seq").agg(*first)
 
     def coverage(self) -> DataFrame:
         """(id, words, covered) of every held-out row with words: how many of its words lie in runs of five words (a shorter text: in itself) that occur in training texts, overlapping runs merged.
 
-        The runs at every word of both sides meet by their hashes in one join, so a copied stretch of five words or more counts wherever it begins."""
-        held, train = self.codes.where("held"), self.codes.where("NOT held")
-        once = held.groupBy("seq").agg(F.min("id").alias("id"))
-        own = held.join(once, ["seq", "id"], "left_semi").select("seq", "letters")
-        sizes = sorted({PASSAGE, *(r.n for r in held.where(F.col("n") < PASSAGE).select("n").distinct().collect())})
-        runs = own.mapInArrow(_held_runs, "seq long, pos int, n int, passage long")
-        hit = runs.join(train.select("letters").mapInArrow(_train_runs(sizes), "passage long"), "passage", "left_semi")
+        The run at every word of the held-out texts is searched, so a copied stretch of five words or more counts wherever it begins."""
+        held = self.codes.where("held")
+        runs = materialize(self._once("held").select("seq", "letters").mapInArrow(_all_runs, "seq long, pos int, n int, passage long, letters binary"))
+        hits = scan_passages(self._once("NOT held"), runs.groupBy("passage").agg(F.first("letters").alias("letters"))).select("passage").distinct()
         before = F.lag("pos").over(W.partitionBy("seq").orderBy("pos"))
+        hit = runs.select("seq", "pos", "n", "passage").join(hits, "passage", "left_semi")
         per = hit.withColumn("gain", F.least("n", F.coalesce(F.col("pos") - before, F.col("n")))).groupBy("seq").agg(F.sum("gain").alias("covered"))
         return held.select("id", "seq", F.col("n").alias("words")).join(per, "seq", "left").select("id", "words", F.coalesce("covered", F.lit(0)).alias("covered"))
 
+    def tied(self) -> DataFrame:
+        """(seq, t_seq) of held-out and training word sequences that are similar and differ in their folded form.
+
+        Of a held-out text's n distinct runs of k words a text of similarity t has ceil(t * n) at least, so it has one at least of any n - ceil(t * n) + 1 of them: these, the rarest among held-out texts, are the passages that are searched, in every text. A candidate of m runs must have as many of them as the ceil(t / (1 + t) * (n + m)) runs that the two share leave at least. Nothing similar is left out. Candidates are compared exactly. Texts of fewer than k words are similar to equal ones only."""
+        if self._links is None:
+            spark, t = self.df.sparkSession, self.t
+            held = self._once("held").where(F.col("n") >= self.k).select("seq", "letters")
+            rows = held.select("letters").mapInArrow(_frequencies(self.k), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # at most SLOTS rows
+            table = np.zeros(SLOTS, np.int64)
+            table[rows.column(0).to_numpy()] = rows.column(1).to_numpy()
+            own = materialize(held.mapInArrow(_prefixes(self.k, t, spark.sparkContext.broadcast(table)), "seq long, grams int, passage long, letters binary"))
+            hits = scan_passages(self._once("NOT held"), own.groupBy("passage").agg(F.first("letters").alias("letters")))
+            n, m = F.col("grams"), F.col("t_grams")
+            j = own.select("seq", "grams", "passage").join(hits, "passage").where((F.col("seq") != F.col("t_seq")) & (F.least(n, m) >= t * F.greatest(n, m) - 1e-9))
+            shared = j.groupBy("seq", "t_seq", "grams", "t_grams").agg(F.count(F.lit(1)).alias("shared"))
+            unseen = F.ceil(t * n - 1e-9) - 1
+            seqs = shared.where(F.col("shared") >= F.ceil(t / (1 + t) * (n + m) - 1e-9) - unseen).select("seq", "t_seq")
+            reps = self.codes.groupBy("seq").agg(F.min("id").alias("rep"))
+            pairs = materialize(seqs.join(reps.select("seq", F.col("rep").alias("a")), "seq").join(reps.select(F.col("seq").alias("t_seq"), F.col("rep").alias("b")), "t_seq"))
+            texts = self.rows.select(F.col(self.key).cast("long").alias("id"), F.col(self.text).alias("text"))
+            good = verified(pairs.select("a", "b").distinct(), texts, self.k, t).select("a", "b")
+            self._links = materialize(pairs.join(good, ["a", "b"]).select("seq", "t_seq"))
+        return self._links
+
     def near(self) -> DataFrame:
-        """Pairs of similar texts that differ in their folded form.
-
-        A held-out text of fewer than 20 words is cut into its shingles, of which a similar text has the share t at least. A longer one is cut into passages of five words: texts of a similarity of 0.6 and more have three shingles in five in common, and as an edited word breaks one passage but four shingles (fewer at the text's ends only), they keep some third of the passages. A fifth is asked for. A passage in more than 256 training texts ties nothing by itself unless more than a quarter of its text's passages are such; it counts as shared with every text that shares another. Candidates are compared exactly."""
-        own, hits = self.matches()
-        common = hits.groupBy("passage").agg(F.count(F.lit(1)).alias("texts")).where(F.col("texts") > COMMON).select("passage", F.lit(1).alias("common"))
-        marked = own.select("seq", "passage").distinct().join(common, "passage", "left")
-        counts = marked.groupBy("seq").agg(F.count(F.lit(1)).alias("passages"), F.count("common").alias("many"))
-        plain = counts.where(F.col("many") * 4 > F.col("passages")).select("seq", F.lit(1).alias("plain"))
-        used = marked.join(plain, "seq", "left").where(F.col("common").isNull() | F.col("plain").isNotNull()).select("seq", "passage")
-        wanted = counts.select("seq", "passages", F.when(F.col("many") * 4 > F.col("passages"), 0).otherwise(F.col("many")).alias("ignored"))
-        shared = used.join(hits, "passage").where(F.col("seq") != F.col("t_seq")).groupBy("seq", "t_seq").agg(F.count(F.lit(1)).alias("shared"))
-        seqs = shared.join(wanted, "seq").where(F.col("shared") + F.col("ignored") >= KEPT * F.col("passages")).select("seq", "t_seq")
-        reps = self.codes.groupBy("seq").agg(F.min("id").alias("rep"), F.first("n").alias("n"))
-        e, x = reps.select("seq", F.col("rep").alias("a"), F.col("n").alias("na")), reps.select(F.col("seq").alias("t_seq"), F.col("rep").alias("b"))
-        pairs = materialize(seqs.join(e, "seq").join(x, "t_seq").select("a", "b", "seq", "t_seq"))
-        texts = self.rows.select(F.col(self.key).cast("long").alias("id"), F.col(self.text).alias("text"))
-        good = verified(pairs.select("a", "b").distinct(), texts, self.k, self.t).select("a", "b")
-        tied = materialize(pairs.join(good, ["a", "b"]).select("seq", "t_seq"))
+        """(kind, id_a, id_b) of similar rows whose folded texts differ: every held-out and training row of tied sequences."""
         ids = self.codes.select("id", "held", "seq")
         held, train = ids.where("held").select("seq", F.col("id").alias("x")), ids.where("NOT held").select(F.col("seq").alias("t_seq"), F.col("id").alias("y"))
-        return self._pairs("near", tied.join(held, "seq").join(train, "t_seq"))
+        return self._pairs("near", self.tied().join(held, "seq").join(train, "t_seq"))
 
     def all(self) -> DataFrame:
         """(kind, id_a, id_b) of every overlap, once a kind."""
         return self.near().unionByName(self.equal()).distinct()
 
     def report(self) -> DataFrame:
-        """Per held-out split, project and kind: the held-out rows that overlap with training rows and the pairs; project null where a row has none."""
-        pairs = self.all()
+        """Per held-out split, project and kind: the held-out rows that overlap with training rows and the pairs; project null where a row has none.
+
+        Pairs are counted from the training rows of each value or sequence, not listed."""
+        rows = materialize(self._values())
+        many = rows.where("NOT held").groupBy("kind", "v", F.col("full").alias("fa")).agg(F.count(F.lit(1)).alias("m"))
+        same = rows.where("held").withColumnRenamed("full", "fb").join(many, ["kind", "v"]).where(_AGREE).groupBy("kind", "id").agg(F.sum("m").alias("pairs"))
+        ids = self.codes.select("id", "held", "seq")
+        copies = ids.where("NOT held").groupBy(F.col("seq").alias("t_seq")).agg(F.count(F.lit(1)).alias("m"))
+        near = self.tied().join(copies, "t_seq").groupBy("seq").agg(F.sum("m").alias("pairs")).join(ids.where("held"), "seq").select(F.lit("near").alias("kind"), "id", "pairs")
         held = self.rows.where("__held").select(F.col(self.key).cast("long").alias("id"), F.lower(F.trim("split")).alias("split"), label_key(F.col("project")).alias("project"))
-        a, b = pairs.select("kind", F.col("id_a").alias("id")), pairs.select("kind", F.col("id_b").alias("id"))
-        per_row = a.unionAll(b).groupBy("kind", "id").agg(F.count(F.lit(1)).alias("pairs"))
-        return per_row.join(held, "id").groupBy("split", "project", "kind").agg(F.count(F.lit(1)).alias("rows"), F.sum("pairs").alias("pairs"))
+        return same.unionByName(near).join(held, "id").groupBy("split", "project", "kind").agg(F.count(F.lit(1)).alias("rows"), F.sum("pairs").alias("pairs"))

@@ -364,6 +364,37 @@ def test_common_passages_count_for_texts_that_share_another(spark):
     assert {(r.id_a, r.id_b) for r in got.collect()} >= {p for p in brute_near(rows[-3:], t=0.2) if 900 in p} != set()
 
 
+def test_a_block_of_hundreds_of_texts_loses_no_pair(spark):
+    rng = random.Random(7)
+    block = body(rng, 55)
+    rows = [function(i, f"{block} {body(rng, 30)}") for i in range(310)]
+    own = body(rng, 40).split()
+    rows += [function(900, f"{block} {' '.join(own)}", "valid"), function(901, f"{block} {' '.join(own[:16])} {body(rng, 24)}"), function(902, f"{block} {' '.join(own[:22])} {body(rng, 18)}")]
+    want = {p for p in brute_near(rows) if 900 in p}
+    got = {(r.id_a, r.id_b) for r in overlap.Overlap(functions(spark, rows), k=4, t=0.6).near().collect()}
+    assert got == want and (900, 902) in want
+
+
+def test_one_shard_in_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(overlap, "LOAD", 2_000)
+    rows = corpus(seed=21, n=25)
+    split_of = {r[0]: r[1] for r in rows}
+    want = {p for p in brute_near(rows) if (split_of[p[0]] == "train") != (split_of[p[1]] == "train")}
+    got = {(r.id_a, r.id_b) for r in overlap.Overlap(functions(spark, rows), k=4, t=0.6).near().collect()}
+    assert got == want and want
+
+
+def test_report_counts_the_pairs(spark):
+    rows = corpus(seed=33, n=25)
+    o = overlap.Overlap(functions(spark, rows), k=4, t=0.6)
+    pairs = o.all().collect()
+    told = o.report().groupBy("kind").sum("pairs").collect()
+    want = {}
+    for r in pairs:
+        want[r.kind] = want.get(r.kind, 0) + 1
+    assert {r[0]: r[1] for r in told} == want
+
+
 @pytest.mark.parametrize("n", [1, 3, 5, 59, 60, 100, 203])
 def test_a_copied_text_is_covered_whole(spark, n):
     rng = random.Random(n)
