@@ -68,17 +68,19 @@ def _plan(sizes: DataFrame, targets: DataFrame) -> tuple[list[tuple], int]:
     rows = []
     for s, (weight, repeats) in sorted(wanted.items()):
         size, n = have.get(s, (0, 0))
-        rows.append((s, size, n, weight, repeats, min(weight * total // 1000, repeats * size)))
+        rows.append((s, size, n, weight, repeats, min(-(-weight * total // 1000), repeats * size)))
     return rows, total
 
 
 def mix_report(df: DataFrame, targets: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    """Per wanted source: its size in tokens, quota, share wanted and reached (of the mix), and whether it falls short.
+    """Per wanted source: its size in tokens, quota, share wanted, share of the mix that was drawn, and whether what was drawn falls short of the weight.
 
     The mix aims at the total size of all records that have a source; a source gives its weight of it, at most max_repeats times its size. Sources named twice are added up; a null weight is 0. A wanted source without records has size 0 and falls short of any positive weight."""
-    rows, total = _plan(materialize(token_sizes(df, vocabulary=vocabulary)), targets)
-    whole = sum(r[5] for r in rows)
-    out = [(s, size, n, quota, w / 1000, quota / whole if whole else 0.0, m * size * 1000 < w * total) for s, size, n, w, m, quota in rows]
+    sizes = materialize(token_sizes(df, vocabulary=vocabulary))
+    rows, total = _plan(sizes, targets)
+    used = {r.source: r.tokens for r in _dealt(sizes.where("tokens > 0"), rows).groupBy("source").agg(F.sum("tokens").alias("tokens")).collect()}  # one row a wanted source
+    whole = sum(used.values())
+    out = [(s, size, n, quota, w / 1000, used.get(s, 0) / whole if whole else 0.0, used.get(s, 0) * 1000 < w * total) for s, size, n, w, _, quota in rows]
     return df.sparkSession.createDataFrame(out, "source string, tokens long, records long, quota long, wanted_share double, reached_share double, short boolean")
 
 
@@ -97,9 +99,12 @@ def mixed(df: DataFrame, targets: DataFrame, shards: int = SHARDS, seed: int = 4
     """(doc_id, source, copy_no, tokens, shard, place): the mix. copy_no: 1 for the first use of a record; place: a random place within the shard, by which a shard is shuffled locally.
 
     A source's records fall into blocks by a hash. Its quota is so many whole passes over them and, in one more pass, the records before the quota is reached in the order of a hash, counted by block and then within the one block that the quota ends in: the quota is met to within one record, with no source gathered in one task. Each (pass, block) with records to use is dealt to a shard by the splitting tree and a permutation of the source's blocks. Records without tokens are left out, repeated ids each take part."""
-    spark = df.sparkSession
     sizes = materialize(token_sizes(df, vocabulary=vocabulary).where("tokens > 0"))
-    rows, _ = _plan(sizes, targets)
+    return _dealt(sizes, _plan(sizes, targets)[0], shards, seed)
+
+
+def _dealt(sizes: DataFrame, rows: list[tuple], shards: int = SHARDS, seed: int = 42) -> DataFrame:
+    spark = sizes.sparkSession
     bucket = F.pmod(F.xxhash64(F.lit(seed), "source", "doc_id"), F.lit(BLOCKS)).cast("int")
     rng = np.random.default_rng(seed)
     per_block = {(r.source, r.block): r.tokens for r in sizes.withColumn("block", bucket).groupBy("source", "block").agg(F.sum("tokens").alias("tokens")).where(F.col("source").isin([r[0] for r in rows])).collect()}  # 256 rows a wanted source

@@ -15,8 +15,8 @@ from siltworks.llm.shingles import chunks, mix, shingle_sets
 from siltworks.llm.split import components
 from siltworks.plans.runtime import materialize
 
-#: Sketch words used of a band, and the most sets that a word may tie together directly.
-USED, CROWD = 48, 32
+#: Sketch words used of a band, the most sets that a word may tie together directly, and the rows of one word that a task holds at once.
+USED, CROWD, HELD = 48, 32, 100_000
 #: Kinds of row beside the bands 0, 1, ...: a text's identity, and a copy met in the same batch.
 IDENTITY, COPY = 100, 101
 #: Kinds of what the scan gives: a pair, a copy with its representative, a word of a crowd.
@@ -58,8 +58,8 @@ def _sketch_rows(k: int, t: float):
 def _scan(t: float):
     """Rows sorted by (key, kind, aux, id) -> (kind, a, b, weight): pairs that share a word, copies, and words of crowds (a: id, b: key, weight: aux)."""
 
-    def groups(kind, key, who, aux, crowd_key):
-        """The result of whole groups. crowd_key: a key known to be a crowd's."""
+    def groups(kind, key, who, aux, crowd_key, begun):
+        """The result of whole groups. crowd_key: a key known to be a crowd's; begun: (key, hash and size, representative) of the class in which the rows before ended, kept up to date."""
         out = []
         special = kind == COPY
         if special.any():
@@ -70,6 +70,9 @@ def _scan(t: float):
             lead = np.ones(len(k), bool)
             lead[1:] = (k[1:] != k[:-1]) | (x[1:] != x[:-1])
             rep = w[lead][np.cumsum(lead) - 1]
+            if begun and begun[:2] == [k[0], x[0]]:
+                rep[np.cumsum(lead) == 1] = begun[2]
+            begun[:] = [k[-1], x[-1], rep[-1]]
             out.append((np.full(len(k), MEMBER), rep, w, np.zeros(len(k), np.int64)))
         word = ~special & ~same
         kind, key, who, aux = kind[word], key[word], who[word], aux[word]
@@ -104,6 +107,7 @@ def _scan(t: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carry: list[np.ndarray] | None = None
         crowd_key = None
+        begun: list = []
         for batch in batches:
             cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
             if not len(cols[0]):
@@ -111,15 +115,15 @@ def _scan(t: float):
             if carry is not None:
                 cols = [np.concatenate(x) for x in zip(carry, cols)]
             last = int(np.searchsorted(cols[1], cols[1][-1]))
-            if len(cols[1]) - last > 100_000:  # a crowd too large to hold: it streams through as such
+            if len(cols[1]) - last > HELD:  # a crowd too large to hold: it streams through as such
                 streamed = cols[1][-1]
-                yield from _batch(groups(*cols, streamed))
+                yield from _batch(groups(*cols, streamed, begun))
                 crowd_key, carry = streamed, None
                 continue
-            yield from _batch(groups(*[c[:last] for c in cols], crowd_key))
+            yield from _batch(groups(*[c[:last] for c in cols], crowd_key, begun))
             carry = [c[last:] for c in cols]
         if carry is not None:
-            yield from _batch(groups(*carry, crowd_key))
+            yield from _batch(groups(*carry, crowd_key, begun))
 
     def _batch(out):
         if out:

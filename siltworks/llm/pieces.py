@@ -57,16 +57,26 @@ def cut_points(text: str, limit: int = 6000, overlap: int = 200) -> list[tuple[i
         count += 1
 
 
+_PIECE = pa.schema([("id", pa.int64()), ("piece_no", pa.int32()), ("pieces", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("text", pa.string())])
+
+
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _PIECE.types)], schema=_PIECE)
+
+
 def _cut(limit: int, overlap: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            for i, text in zip(ids, batch.column(1).to_pylist()):
+            out, size = [], 0
+            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 at = cut_points(text, limit, overlap)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([i] * len(at), pa.int64()), pa.array(range(len(at)), pa.int32()), pa.array([len(at)] * len(at), pa.int32()), pa.array([s for s, _ in at], pa.int32()), pa.array([e for _, e in at], pa.int32()), pa.array([text[s:e] for s, e in at], pa.string())],
-                    names=["id", "piece_no", "pieces", "start", "end", "text"],
-                )
+                out.extend((i, no, len(at), s, e, text[s:e]) for no, (s, e) in enumerate(at))
+                size += len(text)
+                if size > 4_000_000:
+                    yield _rows(out)
+                    out, size = [], 0
+            if out:
+                yield _rows(out)
 
     return run
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siltworks.functions.text import commit_key, label_key
 from siltworks.operators.skew import salted_join
-from siltworks.plans.runtime import materialize
+from siltworks.plans.runtime import materialize, shuffle_partitions
 
 SMALL_GRAPH = 10_000
 SALTS = 8
@@ -42,25 +43,28 @@ def components(edges: DataFrame, depth: int = 0) -> DataFrame:
         few = arcs.where("a < b").limit(SMALL_GRAPH + 1).collect()
         if len(few) <= SMALL_GRAPH:
             return spark.createDataFrame(_driver_components([(r.a, r.b) for r in few]), "node string, component string")
-    lists = arcs.withColumn("salt", F.pmod(F.hash("b"), F.lit(SALTS)))
+    # adjacency lists stay partitioned by node (and salt), so that a step moves the frontier only; a lost partition is read again from the table
+    lists = arcs.withColumn("salt", F.pmod(F.hash("b"), F.lit(SALTS))).repartition(shuffle_partitions(spark), "a", "salt").persist(StorageLevel.DISK_ONLY)
     h = lambda c: F.struct(F.xxhash64(F.lit(depth), c), c)
     seeds = arcs.groupBy("a").agg(F.min(h(F.col("b"))).alias("least")).where(h(F.col("a")) < F.col("least")).select(F.col("a").alias("node"), F.col("a").alias("label"))
     frontier = materialize(seeds)
     labelled, met = [frontier], []
     while True:
         spread = frontier.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
-        reached = lists.join(spread, (lists.a == spread.node) & (lists.salt == spread.salt)).select(F.col("b").alias("node"), "label").distinct()
+        reached = materialize(lists.join(spread, (lists.a == spread.node) & (lists.salt == spread.salt)).select(F.col("b").alias("node"), "label").distinct())
         known = labelled[0]
         for x in labelled[1:]:
             known = known.unionByName(x)
-        step = materialize(reached.groupBy("node").agg(F.min("label").alias("label"), F.max("label").alias("high"), F.collect_set("label").alias("all")).join(known.select("node", F.col("label").alias("old")), "node", "left"))
-        # every label that arrives is tied to the one the node has or takes
-        met.append(step.withColumn("own", F.coalesce("old", "label")).select("own", F.explode("all").alias("other")).where(F.col("own") != F.col("other")).select(F.col("own").alias("a"), F.col("other").alias("b")).distinct())
-        new = step.where(F.col("old").isNull()).select("node", "label")
+        first = reached.groupBy("node").agg(F.min("label").alias("label")).join(known.select("node", F.col("label").alias("old")), "node", "left")
+        step = materialize(first.select("node", F.coalesce("old", "label").alias("own"), F.col("old").isNull().alias("new")))
+        # every label that arrives is tied to the one the node has or takes, row by row: a node that many seeds meet is salted
+        met.append(materialize(salted_join(reached, step, "node", "inner", SALTS).where(F.col("own") != F.col("label")).select(F.col("own").alias("a"), F.col("label").alias("b")).distinct()))
+        new = step.where("new").select("node", F.col("own").alias("label"))
         if new.isEmpty():
             break
         frontier = new
         labelled.append(new)
+    lists.unpersist()
     known = labelled[0]
     for x in labelled[1:]:
         known = known.unionByName(x)

@@ -116,6 +116,24 @@ def test_quota_sample_is_exact(spark):
     assert set(got.columns) == set(df.columns)
 
 
+def test_minimum_and_available_rows_are_bounds_of_the_flow():
+    rng = random.Random(5)
+    for _ in range(60):
+        cells = {(r, c): Fraction(rng.randrange(4000), 100) for r in range(2) for c in range(6)}
+        box = {}
+        for k, x in cells.items():
+            have = rng.randrange(60)
+            least = rng.choice([0, 0, 5])
+            box[k] = (min(max(int(x), least), have), min(max(-int(-x // 1), least), have))
+        got = quota.controlled_rounding(cells, box)
+        assert all(box[k][0] <= got[k] <= box[k][1] for k in cells)
+        for c in range(6):  # a total that its cells' bounds reach is kept
+            x, least, most = (sum(v[k] for k in cells if k[1] == c) for v in (cells, {k: b[0] for k, b in box.items()}, {k: b[1] for k, b in box.items()}))
+            total = sum(got[k] for k in cells if k[1] == c)
+            assert least <= total <= most
+    assert quota.unmet({("a", 1): (3, 5), ("b", 1): (9, 5), ("c", 2): (0, 0)}) == {("a", 1): 2}
+
+
 def test_quota_of_an_empty_table(spark):
     df = functions(spark, [])
     t = targets(spark, [(0, "none", 500, 3)])
@@ -219,6 +237,21 @@ def test_near_of_small_sets_that_share_one_crowded_word(spark):
     assert (0, 1) in want and {(r.id_a, r.id_b) for r in near.near_pairs(functions(spark, rows), k=4, t=0.6).collect()} == want
 
 
+def test_a_text_of_many_batches_is_one_class(spark, monkeypatch):
+    monkeypatch.setattr(near, "HELD", 20)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 16)
+    try:
+        rng = random.Random(9)
+        text = body(rng, 50)
+        rows = [function(i, text) for i in range(400)] + [function(900 + i, edited(rng, text, 1)) for i in range(5)]
+        rng.shuffle(rows)
+        got = near.near_groups(functions(spark, rows), k=4, t=0.6).collect()
+        assert len(got) == 405 and len({r.group_id for r in got}) == 1
+        assert len({r.links for r in got if r.fn_id < 400}) == 1
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_near_groups_and_odd_tables(spark):
     rows = corpus(n=6)
     got = {r.fn_id: r for r in near.near_groups(functions(spark, rows), k=4, t=0.6).collect()}
@@ -595,3 +628,41 @@ def test_a_text_with_a_cue_in_fewer_documents_or_about_a_subject_is_no_residue(s
     rows = [(1, line, None, None), (1, line, None, None), (1, f"{line} {line}", None, None), (2, line, None, None)]
     rows += [(10 + i, "The upload of lock_a failed and nobody saw why it was.", None, None) for i in range(5)]
     assert residue.residue(documents(spark, rows)).collect() == []
+
+
+UNSEEN = [
+    "Hello ##CUSTOMER##, your parcel is on its way.",
+    "Dear %%FIRST_NAME%%, thank you for signing up.",
+    "Good morning *|FNAME|*, here is the news of this week.",
+    "Error establishing a database connection",
+    "You have been logged out.",
+    "This page isn't working. The server could not handle this request.",
+    "Please verify that you are human to continue.",
+    "Resource limit is reached. The website is unable to service your request.",
+    "Die Seite konnte nicht geladen werden.",
+    "La connexion au serveur a échoué. Veuillez réessayer.",
+    "No se pudo cargar la página solicitada.",
+]
+HONEST = [
+    "Sorry, I missed this review yesterday. The patch looks good to me.",
+    "Oops, I broke the build with my last commit. Fixed now.",
+    "Coming soon in the next release: a new parser and faster scans of large folders.",
+    "The review of the quarter lists what the team has built and what is left.",
+    "We measured the time of each request: the server answers in 20 ms and nothing is lost.",
+]
+
+
+def test_residue_of_no_list(spark):
+    rows = [(i, t, "en", "s") for i, t in enumerate(UNSEEN + HONEST)]
+    got = {r.doc_id for r in residue.residue(documents(spark, rows)).collect()}
+    assert len(got & set(range(len(UNSEEN)))) >= 0.9 * len(UNSEEN) and not got - set(range(len(UNSEEN)))
+
+
+def test_slots_are_induced_from_records_of_one_template(spark):
+    names = ["Maria", "Tomas", "Ines", "Jean", "Olga", "Petra"]
+    texts = [f"Dear {n}, we have received your order and will ship it soon." for n in names] + ["Dear customer_name, we have received your order and will ship it soon."]
+    texts += [f"The invoice goes to {c} before the end of the week." for c in ["Bonn", "Paris", "Madrid", "Vienna", "Oslo", "Rome", "Lyon"]] + ["The invoice goes to __ before the end of the week.", "The invoice goes to companyName before the end of the week."]
+    # names as values: what most instances hold is no slot left open
+    texts += [f"The module calls {v} for every single entry of the log." for v in ["order_id", "user_name", "account_id", "item_price", "parser", "loader", "reader"]]
+    got = {r.doc_id: r.slots for r in residue.residue(documents(spark, [(i, t, "en", "s") for i, t in enumerate(texts)])).collect()}
+    assert got == {6: 1, 14: 1, 15: 1}
