@@ -7,11 +7,14 @@ import re
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siltworks.llm.keymap import key_map, may_hold
+from siltworks.llm.shingles import mix
 from siltworks.plans.runtime import materialize
 
 # How templates mark a slot. NAME is a variable's name.
@@ -36,9 +39,14 @@ MARKS = [
     r"<[A-Za-z][A-Za-z_]{1,30}>(?!.*</)",
     r"(?<![\w{$#])\{[A-Za-z][A-Za-z_]{2,30}\}(?!\w)",
     r"(?<=[:\s])_{4,}(?=[\s.,]|$)",
+    r"(?<!#)##[A-Za-z][A-Za-z0-9_]{1,30}##(?!#)",
+    r"%%[A-Za-z][A-Za-z0-9_]{1,30}%%",
+    r"\*\|[A-Za-z][A-Za-z0-9_:]{0,30}\|\*",
+    r"<<[A-Za-z][A-Za-z0-9_]{1,30}>>",
+    r"\[(?-i:[A-Z][A-Z0-9]+(?:[ _][A-Z][A-Z0-9]*)+)\]",
 ]
 #: Forms of MARKS that are a slot wherever they stand open; the others are also syntax of shells, wikis, markup or languages.
-SURE = {0, 3, 6, 7, 11, 12, 13, 14, 15}
+SURE = {0, 3, 6, 7, 11, 12, 13, 14, 15, 19, 20, 21}
 #: Names that the angle form of a mark does not have, being markup.
 TAGS = "p br hr div span a b i u s em strong code pre ul ol li table tr td th tbody thead h img html body head script style sup sub small blockquote center font form input button label section article nav main footer header".split()
 # Filler in place of content.
@@ -46,7 +54,7 @@ FILLER = [
     r"^(?:the )?(?:content|text|copy|details|description|body copy|more)(?: is| are)? (?:coming soon|pending|to follow|to come|goes here|to be added)",
     r"\b(?:section|text|content|chapter|body) (?:is )?(?:still )?to be written",
     r"^this (?:page|section|document) is intentionally left (?:blank|empty|without text)",
-    r"^coming soon\b",
+    r"^coming soon\b(?:\W+\w+){0,3}\W*$",
     r"^text[eo]? (?:a venir|en preparation|pendiente|de relleno)|^contenu a venir|^contenido en preparacion|^proximamente\b|^contenido pendiente",
     r"^hier (?:steht|folgt|kommt) (?:spater|noch|bald)|^(?:text|inhalt) folgt\b|^inhalt (?:in vorbereitung|folgt)|^platzhalter|^blindtext",
     r"^lorem ipsum\b|\bdolor sit amet\b|\bconsectetur adipisc",
@@ -66,7 +74,7 @@ ERRORS = [
     r"^(?:access|permission) (?:denied|refused)|^acces (?:refuse|interdit)|^acceso denegado|^zugriff (?:verweigert|abgelehnt)|^forbidden\b",
     r"^(?:the )?service (?:is )?(?:temporarily )?unavailable|^service indisponible|^servicio no disponible|^dienst nicht verfugbar",
     r"^(?:internal|interner|interno|erreur) (?:server ?)?(?:error|fehler|interne)|^error interno|^gateway (?:trouble|time-?out)|^bad gateway|^too many requests|^demasiadas solicitudes|^trop de requetes|^zu viele anfragen",
-    r"^(?:oops|whoops|sorry|hoppla|ups)[!,.]",
+    r"^(?:oops|whoops|sorry|hoppla|ups)[!,.](?!.*\b(?:i|i'm|i've|my|me)\b)",
     r"^something (?:broke|went wrong)|^etwas ist schiefgelaufen|^algo salio mal|^une erreur (?:est survenue|s'est produite)|^ein fehler ist aufgetreten|^ha ocurrido un error|^an (?:unexpected )?error (?:has )?occurred",
     r"^unhandled exception in\b|^uncaught (?:error|exception)\b|^traceback \(most recent|^stack trace\b|^at \w+ line \d+$",
     r"^fatal: (?:could not|cannot|failed)|^(?:database|db) (?:connection )?(?:error|failed)|^could not connect to\b.{0,50}\(timeout\)",
@@ -98,6 +106,13 @@ CUES = [
     r"\b(?:fout|niet (?:gevonden|beschikbaar)|mislukt|opnieuw|geweigerd|onderhoud|blad|nie znaleziono|niedostepn[aey]|sprobuj ponownie|fel|hittades inte|forsok igen|inte tillganglig|ikke (?:funnet|fundet|tilgjengelig)|prov igen)\b",
     r"ошибк|не наиден|недоступ|попробуите|обновите|доступ запрещен|错误|失败|无法|未找到|请稍后|重试|刷新|エラー|見つかりません|アクセスてきません|再読み込み",
 ]
+#: What a site speaks of and how it fails, evidence only for a text that says nothing else.
+SITE = r"\b(?:pages?|(?:web ?)?site|server|service|database|connection|request|resource|session|account|browser|network|traffic|logged (?:out|off|in)|human|robots?|captcha|seite|verbindung|sitzung|dienst|datenbank|anfrage|inhalt|connexion|serveur|requete|base de donnees|pagina|sitio|servidor|conexion|sesion|servicio|solicitud)\b"
+FAIL = r"\b(?:(?:is|are|was|were|does|do|did|can|could|has|have)(?: not|n't)|cannot|not (?:working|loaded|reachable)|error establishing|fail(?:s|ed|ure)?|unreachable|unavailable|exceeded|limit (?:is |was |has been )?(?:reached|exceeded)|out of resources|logged (?:out|off)|expired|timed out|refused|blocked|verify|verification|confirm|prove|check(?:ing)? (?:that|if|whether)|konnte nicht|kann nicht|konnten nicht|nicht (?:geladen|erreichbar|moglich)|fehlgeschlagen|abgelaufen|abgemeldet|impossible|n'a pas pu|ne peut pas|n'est pas|echoue|expiree|deconnecte|no se (?:pudo|puede)|no (?:esta|fue)|fallo|caducad[oa]|agotado)\b"
+#: Words of which the names of templates' slots consist.
+SLOT_WORDS = set("first last full middle given family name surname user customer client recipient contact person company organisation organization product item title subject date month year deadline email mail phone address street city country zip website price amount order invoice reference id employee team department account".split())
+#: Defaults that stand where a value was not given.
+DEFAULTS = set("n/a undefined nan".split())
 # Frequent function words of the collection's languages; prose has some in every dozen words.
 FUNCTION_WORDS = set(
     "the a an of to in and or is are was were be for on that with as at by from it this not no has have had but if when which so its their than "
@@ -107,9 +122,27 @@ FUNCTION_WORDS = set(
 )
 _MARK = re.compile("|".join(f"(?P<m{i}>{p})" for i, p in enumerate(MARKS)), re.I)
 #: What every mark has somewhere.
-_HINT = re.compile(r"[{<\[%$@«(]|__|XX_|todo|fixme|t\.?b\.?[dac]\b", re.I)
-_PAGE = re.compile("|".join(f"(?:{p})" for p in FILLER + ERRORS + SCRIPTS))
-_CUE = re.compile("|".join(CUES))
+_HINT = re.compile(r"[{<\[%$@«(]|__|##|\*\||XX_|todo|fixme|t\.?b\.?[dac]\b", re.I)
+def _branches(patterns: list[str]) -> list[str]:
+    """The alternatives of patterns at their top level."""
+    out = []
+    for p in patterns:
+        depth, first = 0, 0
+        for m in re.finditer(r"\\.|\[(?:\\.|[^\]])*\]|[()|]", p):
+            depth += {"(": 1, ")": -1}.get(m.group(), 0)
+            if m.group() == "|" and not depth:
+                out.append(p[first : m.start()])
+                first = m.end()
+        out.append(p[first:])
+    return out
+
+
+_AT_START = re.compile("|".join(f"(?:{p[1:]})" for p in _branches(FILLER + ERRORS + SCRIPTS) if p[0] == "^"))
+_ANYWHERE = re.compile("|".join(f"(?:{p})" for p in _branches(FILLER + ERRORS + SCRIPTS) if p[0] != "^"))
+_OPEN_WORD = re.compile(r"(?i:[a-z0-9]_[a-z0-9])|[a-z][A-Z]|__|(?i:\b(?:n/a|undefined|nan)\b)")
+_CUE, _SITE, _FAIL = re.compile("|".join(CUES)), re.compile(SITE), re.compile(FAIL)
+_TOKEN = re.compile(r"[^\W_](?:[\w'’/-]*\w)?|_{2,}")
+_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _ABOUT = re.compile(r"\w_\w|->|\w\(\)|`|\"|“|”|\bcwe\b|\d+\.\d+\.\d+|\b[0-9a-f]{10,}\b")
 _VALUE = re.compile(r"\w+(?:(?:_|->|\.|-)\w+)+(?:\(\))?|\b(?=[0-9a-f]*\d)[0-9a-f]{6,}\b|\d[\d.,:]*")
 _LEAD = re.compile(r"^(?:\[\d\d:\d\d\]|step=\S+|loss=\S+|[#>*+\-–•\s]+|\d+[.)]\s|<h\d>)+\s*", re.I)
@@ -152,7 +185,14 @@ def is_page_text(plain: str) -> bool:
     """Whether a segment (as _plain gives it, without code, version or quotation that it would report on) is filler, an error message or a script notice."""
     if not plain:
         return False
-    return (len(plain) <= 400 and bool(_PAGE.search(plain))) or repeated_stub(plain) or wordless(plain)
+    return (len(plain) <= 400 and (_AT_START.match(plain) or _ANYWHERE.search(plain)) is not None) or repeated_stub(plain) or wordless(plain)
+
+
+def failed_page(plain: list[str]) -> bool:
+    """Whether a text of these segments does nothing but tell that a site, its server or the reader's session does not work: at most three segments and 300 characters, each with a word of a failure, a refusal or what to do then, no first person and no list."""
+    if not 0 < len(plain) <= 3 or sum(map(len, plain)) > 300 or any(re.search(r"\b(?:i|i'm|i've|my|me)\b|: ", p) for p in plain):
+        return False
+    return any(_SITE.search(p) and _FAIL.search(p) for p in plain) and all(_CUE.search(p) or _SITE.search(p) for p in plain)
 
 
 def wordless(plain: str) -> bool:
@@ -185,6 +225,55 @@ def marks(segment: str) -> list[tuple[int, str, bool]]:
     return out
 
 
+def variable(token: str) -> bool:
+    """Whether a word is a blank, a default, or a variable's name that says what a slot is for (two words or more, all of SLOT_WORDS)."""
+    if token.strip("_") == "" or token.lower() in DEFAULTS:
+        return True
+    parts = _PARTS.findall(token)
+    return len(parts) > 1 and ("_" in token or token[:1].islower() and not token.islower()) and all(p.lower() in SLOT_WORDS for p in parts)
+
+
+def frames(tokens: list[str], cache: dict[str, int]) -> np.ndarray:
+    """For each word the hash of the segment without it, the same whatever stands there."""
+    for w in tokens:
+        if w not in cache:
+            if len(cache) > 500_000:
+                cache.clear()
+            cache[w] = xxhash.xxh64_intdigest(w.casefold())
+    n = len(tokens)
+    with np.errstate(over="ignore"):
+        part = mix(np.asarray([cache[w] if w in cache else xxhash.xxh64_intdigest(w.casefold()) for w in tokens], np.uint64) + np.arange(n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        return mix(part.sum(dtype=np.uint64) - part + np.arange(n, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03) + np.uint64(n))
+
+
+def _framed(segment: str) -> list[str]:
+    """The words of a segment of 4 to 30 words, else none."""
+    tokens = _TOKEN.findall(segment)
+    return tokens if 4 <= len(tokens) <= 30 else []
+
+
+def _values(shared):
+    """(doc_id, text) -> (skeleton, value): the ordinary words in the places that the map of open frames may hold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, cache = shared.value, {}
+        for batch in batches:
+            for text in set(batch.column(1).to_pylist()):
+                keys, values = [], []
+                for p in segments(text or ""):
+                    tokens = _framed(p)
+                    if tokens:
+                        key = frames(tokens, cache)
+                        for i in may_hold(bits, key).tolist():
+                            if tokens[i].isalpha() and not variable(tokens[i]):
+                                keys.append(key[i])
+                                values.append(_hash(tokens[i].casefold()))
+                if keys:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.asarray(keys, np.uint64).view(np.int64)), pa.array(values, pa.int64())], names=["skeleton", "value"])
+
+    return run
+
+
 def skeleton(segment: str, plain: str | None = None) -> str:
     """The segment with slot marks and values replaced by one sign, so that instances of a template align whether filled or not. plain: the segment's plain form, if it has no mark."""
     text = _plain(_MARK.sub("\x00", segment)) if plain is None else plain
@@ -193,12 +282,13 @@ def skeleton(segment: str, plain: str | None = None) -> str:
 
 _GAP = re.compile(r"[^\w\x00]+")
 _OUT = pa.schema([("doc_id", pa.int64()), ("skeleton", pa.int64()), ("kind", pa.int8()), ("filler", pa.int64()), ("segment", pa.int64()), ("alone", pa.bool_()), ("cue", pa.bool_())])
-#: Kinds of segment: without mark, with an open mark, with a quoted mark, page text.
-FILLED, OPEN, QUOTED, PAGE = 0, 1, 2, 3
+#: Kinds of segment: without mark, with an open mark, with a quoted mark, page text, and a segment's frame around a variable's name, a default or a blank.
+FILLED, OPEN, QUOTED, PAGE, NAMED = 0, 1, 2, 3, 4
 _hash = lambda s: xxhash.xxh64_intdigest(s) - (1 << 63)
 
 
 def _segment_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    cache: dict[str, int] = {}
     for batch in batches:
         rows = []
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -206,6 +296,7 @@ def _segment_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             plain = [_plain(p) for p in parts]
             about = [_ABOUT.search(p) is not None for p in plain]
             alone = len(parts) <= 6 and not any(about)
+            failed = alone and failed_page(plain)
             for p, low, subject in zip(parts, plain, about):
                 found = marks(p)
                 if found:
@@ -214,7 +305,12 @@ def _segment_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                     kind, name, _ = (opened or found)[0]
                     rows.append((doc, _hash(form), OPEN if opened else QUOTED, _hash(f"{kind} {name}"), _hash(low), len(form.replace("\x00", "").split()) <= 1 or any(x[0] in SURE for x in opened), False))
                 else:
-                    page = not subject and is_page_text(low)
+                    page = failed or (not subject and is_page_text(low))
+                    if _OPEN_WORD.search(p):
+                        tokens = _framed(p)
+                        named = [i for i, w in enumerate(tokens) if variable(w)]
+                        if len(named) == 1:
+                            rows.append((doc, int(frames(tokens, cache).view(np.int64)[named[0]]), NAMED, _hash(tokens[named[0]]), 0, False, False))
                     form = skeleton(p, low)
                     rows.append((doc, _hash(form), PAGE if page else FILLED, 0, 0, alone, alone and "\x00" not in form and len(low) <= 400 and _CUE.search(low) is not None))
         if rows:
@@ -224,11 +320,19 @@ def _segment_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def residue(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, slots, page_texts, page_templates) of every document with residue: open slots, segments that are filler, error messages or script notices, and segments of whole-page templates.
 
+    Records of one template also align word by word: a segment of 4 to 30 words without any one of them is a frame, and where a frame's place holds three different ordinary words or more in other texts, and three times as many as there are names in it, a variable's name, a default or a blank there is a slot left open. A text of at most three segments that does nothing but tell of a site or session that fails is page text.
+
     Segments (lines, then sentences) of one template align by their skeleton: marks of slots and values are the same sign in it. An open mark is residue if its form is a slot's only (SURE), if instances of its template hold values or other marks in its place, if it stands alone, or if its template's segments with marks are all one text, in however many documents; a mark of another form that stays the same where the rest of its template varies belongs to what the template says. Quoted marks, as in a report on them, are none. Segments that make up at least three documents of few segments and no subject, and mostly occur in such, are templates of error pages even without a known message if they have no values and a word of a failure, a refusal, a wait or what to do then (CUES); without such a word they may be any short text that is repeated.
 
     Null and empty texts have no residue; a repeated id is one document, a null id is ignored; fenced code is not looked at. Only skeleton hashes are shuffled."""
-    rows = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).mapInArrow(_segment_rows, "doc_id long, skeleton long, kind byte, filler long, segment long, alone boolean, cue boolean")
+    texts = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+    rows = texts.mapInArrow(_segment_rows, "doc_id long, skeleton long, kind byte, filler long, segment long, alone boolean, cue boolean")
     rows = materialize(rows)
+    named = rows.where(F.col("kind") == NAMED)
+    shared = df.sparkSession.sparkContext.broadcast(key_map(named, "skeleton"))
+    values = texts.mapInArrow(_values(shared), "skeleton long, value long").groupBy("skeleton").agg(F.count_distinct("value").alias("values"))
+    unfilled = named.groupBy("skeleton").agg(F.count_distinct("filler").alias("names")).join(values, "skeleton").where((F.col("values") >= 3) & (F.col("values") >= 3 * F.col("names"))).select("skeleton")
+    induced = named.join(unfilled, "skeleton", "left_semi").groupBy("doc_id").agg(F.count(F.lit(1)).alias("named"))
     marked = rows.where(F.col("kind") == OPEN)
     templates = rows.join(marked.select("skeleton").distinct(), "skeleton", "left_semi").groupBy("skeleton").agg(
         F.sum((F.col("kind") == FILLED).cast("int")).alias("filled"),
@@ -241,4 +345,5 @@ def residue(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     whole = each.groupBy("skeleton").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("alone").cast("int")).alias("whole"), F.max("kind").alias("kind"), F.max("cue").alias("cue")).where((F.col("whole") >= 3) & (F.col("whole") * 2 >= F.col("n")) & ((F.col("kind") == PAGE) | F.col("cue")))
     repeated = rows.where(F.col("alone") & F.col("kind").isin(FILLED, PAGE)).join(whole.select("skeleton"), "skeleton", "left_semi").groupBy("doc_id").agg(F.count(F.lit(1)).alias("page_templates"))
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    return slots.join(pages, "doc_id", "full").join(repeated, "doc_id", "full").select(F.col("doc_id").alias(key), zero("slots"), zero("page_texts"), zero("page_templates"))
+    found = slots.join(induced, "doc_id", "full").join(pages, "doc_id", "full").join(repeated, "doc_id", "full")
+    return found.select(F.col("doc_id").alias(key), (F.coalesce("slots", F.lit(0)) + F.coalesce("named", F.lit(0))).alias("slots"), zero("page_texts"), zero("page_templates"))
