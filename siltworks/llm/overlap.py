@@ -12,14 +12,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siltworks.functions.text import commit_key, label_key, number_key
+from siltworks.llm.keymap import key_map, may_hold
 from siltworks.llm.near import verified
 from siltworks.llm.shingles import chunks, mix, words
 from siltworks.plans.runtime import materialize, shuffle_partitions
 
-#: Words of a coverage passage, passages of one automaton, and bytes of text that one automaton is given.
-PASSAGE, SHARD, LOAD = 5, 400_000, 64 << 20
-#: Slots of the table of frequencies and words of 64 bits of the map of passages: both of one size whatever the input's.
-SLOTS, MAP = 1 << 20, 1 << 20
+#: Words of a coverage passage, passages of one automaton, bytes of text that one automaton is given, and words that a task takes at once.
+PASSAGE, SHARD, LOAD, STEP = 5, 100_000, 64 << 20, 150_000
+#: Slots of the table of frequencies, whatever the input's size.
+SLOTS = 1 << 20
 #: Every byte that folding removes.
 _DROPPED = bytes(b for b in range(256) if not (48 <= b <= 57 or 97 <= b <= 122))
 #: Bytes of a word's code, and the ranges of its letters.
@@ -84,10 +85,10 @@ def _grams(raws: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
 
 
 def _steps(raws: list[bytes]) -> Iterator[tuple[int, int]]:
-    """Consecutive index ranges of some 500,000 words (a longer text comes alone)."""
+    """Consecutive index ranges of some STEP words (a longer text comes alone)."""
     first, size = 0, 0
     for i, r in enumerate(raws):
-        if size and size + len(r) > 500_000 * WORD:
+        if size and size + len(r) > STEP * WORD:
             yield first, i
             first, size = i, 0
         size += len(r)
@@ -140,22 +141,41 @@ def _prefixes(k: int, t: float, shared):
     return run
 
 
-def _all_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(seq, letters) -> (seq, pos, n, passage, letters) of the passage at every word; a text of fewer words is one passage."""
-    for batch in batches:
-        seqs, raws = batch.column(0).to_numpy(), batch.column(1).to_pylist()
-        for size in range(1, PASSAGE + 1):
-            of = [i for i, r in enumerate(raws) if len(r) // WORD == size or (size == PASSAGE and len(r) // WORD > size)]
-            for a, b in _steps([raws[i] for i in of]):
-                part = of[a:b]
-                count = np.asarray([len(raws[i]) // WORD for i in part])
-                owner, at, key, codes = _grams([raws[i] for i in part], size)
-                raw = codes[at[:, None] + np.arange(size)].tobytes()
-                step = WORD * size
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(seqs[part][owner]), pa.array((at - (np.cumsum(count) - count)[owner]).astype(np.int32)), pa.array(np.full(len(at), size, np.int32)), pa.array(key.view(np.int64)), pa.array([raw[i : i + step] for i in range(0, len(raw), step)], pa.binary())],
-                    names=["seq", "pos", "n", "passage", "letters"],
-                )
+def _train_grams(sizes: list[int]):
+    """(letters) -> (passage) of the runs of each size, once for some STEP words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raws = batch.column(0).to_pylist()
+            for a, b in _steps(raws):
+                for size in sizes:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.unique(_grams(raws[a:b], size)[2]).view(np.int64))], names=["passage"])
+
+    return run
+
+
+def _all_runs(shared):
+    """(seq, letters) -> (seq, pos, n, passage, letters) of the passage at every word that the map of training runs may hold; a text of fewer words is one passage."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seqs, raws = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+            for size in range(1, PASSAGE + 1):
+                of = [i for i, r in enumerate(raws) if len(r) // WORD == size or (size == PASSAGE and len(r) // WORD > size)]
+                for a, b in _steps([raws[i] for i in of]):
+                    part = of[a:b]
+                    count = np.asarray([len(raws[i]) // WORD for i in part])
+                    owner, at, key, codes = _grams([raws[i] for i in part], size)
+                    held = may_hold(shared.value, key)
+                    owner, at, key = owner[held], at[held], key[held]
+                    raw = codes[at[:, None] + np.arange(size)].tobytes()
+                    step = WORD * size
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(seqs[part][owner]), pa.array((at - (np.cumsum(count) - count)[owner]).astype(np.int32)), pa.array(np.full(len(at), size, np.int32)), pa.array(key.view(np.int64)), pa.array([raw[i : i + step] for i in range(0, len(raw), step)], pa.binary())],
+                        names=["seq", "pos", "n", "passage", "letters"],
+                    )
+
+    return run
 
 
 def _stretches(sizes: list[int], shards: int, shared):
@@ -168,8 +188,7 @@ def _stretches(sizes: list[int], shards: int, shared):
             for a, b in _steps(raws):
                 for k in sizes:
                     owner, at, key, codes = _grams(raws[a:b], k)
-                    place = (key & np.uint64(64 * MAP - 1)).astype(np.int64)
-                    hit = np.flatnonzero((bits[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1))
+                    hit = may_hold(bits, key)
                     if not len(hit):
                         continue
                     owner, at = owner[hit], at[hit]
@@ -234,19 +253,15 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def scan_passages(train: DataFrame, passages: DataFrame) -> DataFrame:
     """(passage, t_seq, t_grams): which passages (passage, letters; distinct) occur in which training texts (seq, grams, letters; a text once).
 
-    The passages are dealt into shards of at most some 400,000, each of which becomes one Aho-Corasick automaton in one task and scans the training texts there. A map of fixed size, one bit for each passage's hash, tells at which places of a text a passage of a shard may stand; only those places go to the shard, so the work does not grow with the number of automata while the map is sparse (some 30 million passages; beyond, more places are scanned in vain and none is missed). A shard with more text than LOAD is built in several tasks, which share its texts."""
+    The passages are dealt into shards of some 100,000, each of which becomes one Aho-Corasick automaton in one task and scans the training texts there. A map of fixed size, one bit for each passage's hash, tells at which places of a text a passage of a shard may stand; only those places go to the shard, so the work does not grow with the number of automata while the map is sparse (some 30 million passages; beyond, more places are scanned in vain and none is missed). A shard with more text than LOAD is built in several tasks, which share its texts."""
     spark = train.sparkSession
     passages = materialize(passages)
     n = passages.count()
     if not n:
         return spark.createDataFrame([], "passage long, t_seq long, t_grams int")
     shards = max(shuffle_partitions(spark), -(-n // SHARD))
-    place = F.col("passage").bitwiseAND(F.lit(64 * MAP - 1))
-    rows = passages.groupBy(F.shiftright(place, 6).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(passage & 63 AS INT))")).alias("bits")).toArrow()  # at most MAP rows
-    bits = np.zeros(MAP, np.uint64)
-    bits[rows.column(0).to_numpy()] = rows.column(1).to_numpy().view(np.uint64)
     sizes = sorted(r.k for r in passages.select((F.length("letters") / WORD).cast("int").alias("k")).distinct().collect())  # PASSAGE or shingle sizes
-    shared = spark.sparkContext.broadcast(bits)
+    shared = spark.sparkContext.broadcast(key_map(passages, "passage"))
     texts = materialize(train.select("seq", "grams", "letters").mapInArrow(_stretches(sizes, shards, shared), "shard int, seq long, grams int, letters binary"), "lz4")
     dealt = passages.withColumn("shard", F.pmod(F.shiftrightunsigned("passage", 32), F.lit(shards)).cast("int"))
     load = texts.groupBy("shard").agg((F.sum(F.length("letters") + 24) / LOAD).cast("int").alias("extra")).where("extra > 0")
@@ -310,10 +325,12 @@ class Overlap:
     def coverage(self) -> DataFrame:
         """(id, words, covered) of every held-out row with words: how many of its words lie in runs of five words (a shorter text: in itself) that occur in training texts, overlapping runs merged.
 
-        The run at every word of the held-out texts is searched, so a copied stretch of five words or more counts wherever it begins."""
-        held = self.codes.where("held")
-        runs = materialize(self._once("held").select("seq", "letters").mapInArrow(_all_runs, "seq long, pos int, n int, passage long, letters binary"))
-        hits = scan_passages(self._once("NOT held"), runs.groupBy("passage").agg(F.first("letters").alias("letters"))).select("passage").distinct()
+        The run at every word of the held-out texts is searched, so a copied stretch of five words or more counts wherever it begins; those that a map of the training texts' runs shows to be in none make no passage."""
+        held, train = self.codes.where("held"), self._once("NOT held")
+        sizes = sorted({PASSAGE, *(r.n for r in held.where(F.col("n") < PASSAGE).select("n").distinct().collect())})
+        known = self.df.sparkSession.sparkContext.broadcast(key_map(self.codes.where("NOT held").select("letters").mapInArrow(_train_grams(sizes), "passage long"), "passage"))
+        runs = materialize(self._once("held").select("seq", "letters").mapInArrow(_all_runs(known), "seq long, pos int, n int, passage long, letters binary"))
+        hits = scan_passages(train, runs.groupBy("passage").agg(F.first("letters").alias("letters"))).select("passage").distinct()
         before = F.lag("pos").over(W.partitionBy("seq").orderBy("pos"))
         hit = runs.select("seq", "pos", "n", "passage").join(hits, "passage", "left_semi")
         per = hit.withColumn("gain", F.least("n", F.coalesce(F.col("pos") - before, F.col("n")))).groupBy("seq").agg(F.sum("gain").alias("covered"))
