@@ -6,6 +6,7 @@ import html
 import re
 import unicodedata
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -122,7 +123,7 @@ FUNCTION_WORDS = set(
 )
 _MARK = re.compile("|".join(f"(?P<m{i}>{p})" for i, p in enumerate(MARKS)), re.I)
 #: What every mark has somewhere.
-_HINT = re.compile(r"[{<\[%$@«(]|__|##|\*\||XX_|todo|fixme|t\.?b\.?[dac]\b", re.I)
+_HINT = re.compile(r"[{<\[%$@«]|\((?:fill|insert|enter|to be)|__|##|\*\||XX_|todo|fixme|t\.?b\.?[dac]\b", re.I)
 def _branches(patterns: list[str]) -> list[str]:
     """The alternatives of patterns at their top level."""
     out = []
@@ -139,7 +140,7 @@ def _branches(patterns: list[str]) -> list[str]:
 
 _AT_START = re.compile("|".join(f"(?:{p[1:]})" for p in _branches(FILLER + ERRORS + SCRIPTS) if p[0] == "^"))
 _ANYWHERE = re.compile("|".join(f"(?:{p})" for p in _branches(FILLER + ERRORS + SCRIPTS) if p[0] != "^"))
-_OPEN_WORD = re.compile(r"(?i:[a-z0-9]_[a-z0-9])|[a-z][A-Z]|__|(?i:\b(?:n/a|undefined|nan)\b)")
+_NAMELIKE = re.compile(r"\w*_\w*|\b[a-z]+[A-Z]\w*|\b[nN]/[aA]\b|\b(?:[uU]ndefined|NaN|nan)\b")
 _CUE, _SITE, _FAIL = re.compile("|".join(CUES)), re.compile(SITE), re.compile(FAIL)
 _TOKEN = re.compile(r"[^\W_](?:[\w'’/-]*\w)?|_{2,}")
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -233,17 +234,23 @@ def variable(token: str) -> bool:
     return len(parts) > 1 and ("_" in token or token[:1].islower() and not token.islower()) and all(p.lower() in SLOT_WORDS for p in parts)
 
 
-def frames(tokens: list[str], cache: dict[str, int]) -> np.ndarray:
-    """For each word the hash of the segment without it, the same whatever stands there."""
-    for w in tokens:
-        if w not in cache:
+def frames(segments_: list[list[str]], cache: dict[str, int]) -> np.ndarray:
+    """For each word of each segment the hash of the segment without it, the same whatever stands there."""
+    hashes = []
+    for w in chain.from_iterable(segments_):
+        h = cache.get(w)
+        if h is None:
             if len(cache) > 500_000:
                 cache.clear()
-            cache[w] = xxhash.xxh64_intdigest(w.casefold())
-    n = len(tokens)
+            h = cache[w] = xxhash.xxh64_intdigest(w.casefold())
+        hashes.append(h)
+    n = np.asarray([len(x) for x in segments_], np.int64)
+    start = np.cumsum(n) - n
+    place = (np.arange(len(hashes)) - np.repeat(start, n)).astype(np.uint64)
     with np.errstate(over="ignore"):
-        part = mix(np.asarray([cache[w] if w in cache else xxhash.xxh64_intdigest(w.casefold()) for w in tokens], np.uint64) + np.arange(n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        return mix(part.sum(dtype=np.uint64) - part + np.arange(n, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03) + np.uint64(n))
+        part = mix(np.asarray(hashes, np.uint64) + place * np.uint64(0x9E3779B97F4A7C15))
+        whole = np.repeat(np.add.reduceat(part, start), n)
+        return mix(whole - part + place * np.uint64(0xD1B54A32D192ED03) + np.repeat(n, n).astype(np.uint64))
 
 
 def _framed(segment: str) -> list[str]:
@@ -258,18 +265,18 @@ def _values(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, cache = shared.value, {}
         for batch in batches:
-            for text in set(batch.column(1).to_pylist()):
-                keys, values = [], []
-                for p in segments(text or ""):
-                    tokens = _framed(p)
-                    if tokens:
-                        key = frames(tokens, cache)
-                        for i in may_hold(bits, key).tolist():
-                            if tokens[i].isalpha() and not variable(tokens[i]):
-                                keys.append(key[i])
-                                values.append(_hash(tokens[i].casefold()))
-                if keys:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.asarray(keys, np.uint64).view(np.int64)), pa.array(values, pa.int64())], names=["skeleton", "value"])
+            texts = list(set(batch.column(1).to_pylist()))
+            for first in range(0, len(texts), 500):
+                some = [x for t in texts[first : first + 500] for p in segments(t or "") if (x := _framed(p))]
+                if not some:
+                    continue
+                key = frames(some, cache)
+                hit = may_hold(bits, key)
+                words = list(chain.from_iterable(some)) if len(hit) else []
+                found = [(i, words[i]) for i in hit.tolist() if words[i].isalpha() and not variable(words[i])]
+                if found:
+                    at, values = zip(*found)
+                    yield pa.RecordBatch.from_arrays([pa.array(key[list(at)].view(np.int64)), pa.array([_hash(v.casefold()) for v in values], pa.int64())], names=["skeleton", "value"])
 
     return run
 
@@ -306,11 +313,11 @@ def _segment_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                     rows.append((doc, _hash(form), OPEN if opened else QUOTED, _hash(f"{kind} {name}"), _hash(low), len(form.replace("\x00", "").split()) <= 1 or any(x[0] in SURE for x in opened), False))
                 else:
                     page = failed or (not subject and is_page_text(low))
-                    if _OPEN_WORD.search(p):
+                    if any(variable(w) for w in _NAMELIKE.findall(p)):
                         tokens = _framed(p)
                         named = [i for i, w in enumerate(tokens) if variable(w)]
                         if len(named) == 1:
-                            rows.append((doc, int(frames(tokens, cache).view(np.int64)[named[0]]), NAMED, _hash(tokens[named[0]]), 0, False, False))
+                            rows.append((doc, int(frames([tokens], cache).view(np.int64)[named[0]]), NAMED, _hash(tokens[named[0]]), 0, False, False))
                     form = skeleton(p, low)
                     rows.append((doc, _hash(form), PAGE if page else FILLED, 0, 0, alone, alone and "\x00" not in form and len(low) <= 400 and _CUE.search(low) is not None))
         if rows:
@@ -329,8 +336,10 @@ def residue(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     rows = texts.mapInArrow(_segment_rows, "doc_id long, skeleton long, kind byte, filler long, segment long, alone boolean, cue boolean")
     rows = materialize(rows)
     named = rows.where(F.col("kind") == NAMED)
-    shared = df.sparkSession.sparkContext.broadcast(key_map(named, "skeleton"))
-    values = texts.mapInArrow(_values(shared), "skeleton long, value long").groupBy("skeleton").agg(F.count_distinct("value").alias("values"))
+    bits = key_map(named, "skeleton")
+    shared = df.sparkSession.sparkContext.broadcast(bits)
+    around = texts if bits.any() else texts.where("false")  # no name, default or blank: no frame to fill
+    values = around.mapInArrow(_values(shared), "skeleton long, value long").groupBy("skeleton").agg(F.count_distinct("value").alias("values"))
     unfilled = named.groupBy("skeleton").agg(F.count_distinct("filler").alias("names")).join(values, "skeleton").where((F.col("values") >= 3) & (F.col("values") >= 3 * F.col("names"))).select("skeleton")
     induced = named.join(unfilled, "skeleton", "left_semi").groupBy("doc_id").agg(F.count(F.lit(1)).alias("named"))
     marked = rows.where(F.col("kind") == OPEN)
