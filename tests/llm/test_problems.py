@@ -490,6 +490,41 @@ def test_leaks_equal_brute_force(spark):
     assert leakage.leaks(documents(spark, rows[:3]), it.where("false")).collect() == []
 
 
+def test_cells_find_what_all_passages_find():
+    rng = np.random.default_rng(3)
+    themes = rng.standard_normal((40, 32))
+    unit = lambda x: (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    queries = unit(themes[rng.integers(0, 40, 900)] + 0.9 * rng.standard_normal((900, 32)))
+    vectors = unit(np.concatenate([queries[rng.integers(0, 900, 2000)] + 0.1 * rng.standard_normal((2000, 32)), rng.standard_normal((2000, 32))]))
+    i, j = np.nonzero(vectors @ queries.T >= leakage.COSINE)
+    a, b, c = leakage._near_pairs(vectors, queries, *leakage.cells(queries))
+    found = set(zip(a.tolist(), b.tolist()))
+    assert found <= set(zip(i.tolist(), j.tolist())) and len(found) >= 0.9 * len(i) and len(set(a.tolist())) >= 0.97 * len(set(i.tolist()))
+    assert len(leakage.cells(queries[:5])[0]) == 1
+
+
+def test_paraphrases_are_found(spark):
+    rng = random.Random(15)
+    vocabulary = [f"word{i}" for i in range(3000)]
+    text = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    items = [(i, text(40)) for i in range(20)]
+    docs = [(100 + i, text(200)) for i in range(60)]
+    for i, w in items:
+        said = [rng.choice(vocabulary) if k % 9 == 4 else x for k, x in enumerate(w)]
+        docs.append((i, [*text(50), *said, *text(50)]))
+    d = spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string")
+    it = spark.createDataFrame([(i, " ".join(w) + ".") for i, w in items], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in leakage.leaks(d, it).where(f"subsequence >= {leakage.PARAPHRASE} AND answer >= {leakage.ANSWER}").collect()}
+    want = {(i, i) for i, _ in items}
+    assert len(got & want) >= 18 and len(got - want) <= 1
+
+
+def test_subsequence_of_a_long_text_is_windowed():
+    words = np.arange(30, dtype=np.uint64)
+    spread = np.concatenate([np.concatenate([[x], np.full(60, 99, np.uint64)]) for x in words]).astype(np.uint64)
+    assert leakage.windowed_subsequence(spread, words) <= 2 and leakage.windowed_subsequence(np.concatenate([spread, words]), words) == 30
+
+
 def test_a_run_is_a_leak_whatever_its_cosine(spark, monkeypatch):
     rng = random.Random(4)
     w = [[f"w{rng.randrange(500)}" for _ in range(40)] for _ in range(6)]
@@ -507,7 +542,8 @@ def _block(spark, rows, item):
     basis = leakage.latent_basis(words, idf)
     w = leakage.word_hashes(" ".join(item), {})
     starts = np.arange(len(w) - leakage.RUN + 1)
-    return idf, basis, np.zeros(len(starts), int), leakage._windows(w, starts, idf, basis), [(7, w, w[-5:])]
+    queries = leakage._windows(w, starts, idf, basis)
+    return idf, basis, np.zeros(len(starts), int), queries, leakage.cells(queries), [(7, w, w[-5:])]
 
 
 def test_common_subsequence():
