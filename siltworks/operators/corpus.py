@@ -6,17 +6,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siltworks.functions.text import SPACE, blank_to_null, trimmed
+from siltworks.functions.text import SPACE, trimmed
+from siltworks.plans.runtime import materialize
 
-#: Names of the code and label columns, by preference.
-CODE_FIELDS = ["func", "code", "function", "source", "func_before"]
-LABEL_FIELDS = ["target", "label", "vul", "is_vulnerable", "vulnerable"]
+#: SPACE without the line feed.
+_WITHIN = r"\t\x0b-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def bound(df: DataFrame, column: str) -> DataFrame:
+    """df whose column is computed once a row, however often it is used afterwards: a generator's output is not put in place of its name."""
+    return df.select(*[c for c in df.columns if c != column], F.explode(F.array(column)).alias(column))
 
 
 def normalized_code(c: Column) -> Column:
     """Line ends unified, white space at line ends removed, blank lines collapsed to one, the whole trimmed; null gives ''."""
     c = F.regexp_replace(F.coalesce(c, F.lit("")), "\r\n?", "\n")
-    c = F.regexp_replace(c, r"[ \t\x0b\x0c\x1c-\x1f\x85\xa0]+(?=\n|$)", "")
+    c = F.regexp_replace(c, f"[{_WITHIN}]+(?=\n|$)", "")
     return trimmed(F.regexp_replace(c, "\n{3,}", "\n\n"))
 
 
@@ -31,10 +36,13 @@ def coerced_cwe(c: Column) -> Column:
 
 
 def kept_first(df: DataFrame, order: str = "fn_id") -> DataFrame:
-    """The first row of each normalised text by order, of rows with a text and a label of 0 or 1."""
-    valid = df.where((F.length(normalized_code(F.col("func"))) > 0) & F.col("target").isin(0, 1))
-    first = valid.groupBy(code_hash(normalized_code(F.col("func"))).alias("h")).agg(F.min(order).alias(order))
-    return valid.join(first.select(order), order, "left_semi")
+    """The first row of each normalised text by order, one row even where order repeats, of rows with a text and a label of 0 or 1.
+
+    Each task keeps one row a text before the shuffle, so a text that many rows have moves once a task."""
+    text = F.length(normalized_code(F.col("func"))) > 0
+    valid = df.where(text & F.col("target").isin(0, 1))
+    first = valid.groupBy(code_hash(normalized_code(F.col("func"))).alias("h")).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in df.columns]), F.struct(F.col(order), F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))).alias("row"))
+    return first.select("row.*")
 
 
 def preprocess_counters(df: DataFrame) -> DataFrame:
@@ -75,12 +83,15 @@ def nearest_rank(df: DataFrame, value: Column, by: str, shares: list[float]) ->
     return at.where(F.col("upto") > F.col("k")).groupBy(by, "share").agg(F.min("v").alias("value"))
 
 
-def identity_keys(df: DataFrame) -> DataFrame:
-    """(split, fn_id, target, dim, key) of the seven dimensions in which rows may be the same; null and empty keys are left out."""
+DIMENSIONS = ("exact_code", "normalized_code", "hash", "idx", "big_vul_idx", "commit_id", "project")
+
+
+def identity_keys(df: DataFrame, dims: tuple[str, ...] = DIMENSIONS) -> DataFrame:
+    """(split, fn_id, target, dim, key) of the dimensions in which rows may be the same; null and empty keys are left out. Only the dimensions asked for are computed."""
     text = F.when(F.length(trimmed("func")) > 0, F.col("func"))
-    dims = {"exact_code": F.sha2(text, 256), "normalized_code": code_hash(text), "hash": F.col("hash"), "idx": F.col("idx"), "big_vul_idx": F.col("big_vul_idx"), "commit_id": F.col("commit_id"), "project": F.col("project")}
-    pairs = F.array(*[F.struct(F.lit(d).alias("dim"), blank_to_null(c.cast("string")).alias("key")) for d, c in dims.items()])
-    return df.select("split", "fn_id", "target", F.inline(pairs)).where(F.col("key").isNotNull())
+    keys = {"exact_code": F.sha2(text, 256), "normalized_code": code_hash(text)}
+    pairs = F.array(*[F.struct(F.lit(d).alias("dim"), (keys[d] if d in keys else F.col(d).cast("string")).alias("key")) for d in dims])
+    return df.select("split", "fn_id", "target", F.inline(pairs)).where(F.col("key") != "")
 
 
 def split_audit(df: DataFrame) -> DataFrame:
@@ -99,11 +110,16 @@ def internal_duplicates(df: DataFrame) -> DataFrame:
     return per.groupBy("split", "dim").agg(F.count(F.when(F.col("n") > 1, 1)).alias("duplicate_keys"), F.sum(F.col("n") - 1).alias("redundant_rows"), F.count(F.when(F.col("labels") > 1, 1)).alias("conflicting_keys"))
 
 
-def leaking_rows(df: DataFrame, dims: tuple[str, ...] = ("exact_code", "normalized_code", "hash", "idx", "big_vul_idx")) -> DataFrame:
-    """(fn_id, dim) of the training rows that share a key of a dimension with a held-out row."""
-    keys = identity_keys(df).where(F.col("dim").isin(*dims))
-    held = keys.where(F.col("split") != "train").select("dim", "key").distinct()
-    return keys.where(F.col("split") == "train").join(held, ["dim", "key"], "left_semi").select("fn_id", "dim").distinct()
+LEAK_DIMENSIONS = ("exact_code", "normalized_code", "hash", "idx", "big_vul_idx")
+
+
+def leaking_rows(df: DataFrame, dims: tuple[str, ...] = LEAK_DIMENSIONS) -> DataFrame:
+    """(fn_id, dim) of the training rows that share a key of a dimension with a held-out row.
+
+    Rows are hashed and shuffled once: the keys are written, and the held-out ones, each once, meet the training ones."""
+    keys = materialize(identity_keys(df, dims).select("fn_id", "dim", "key", (F.col("split") == "train").alias("train")))
+    held = keys.where("NOT train").select("dim", "key").distinct()
+    return keys.where("train").join(held, ["dim", "key"], "left_semi").select("fn_id", "dim").distinct()
 
 
 def cleaned_train(df: DataFrame) -> DataFrame:
@@ -111,12 +127,34 @@ def cleaned_train(df: DataFrame) -> DataFrame:
     return df.where(F.col("split") == "train").join(leaking_rows(df).select("fn_id").distinct(), "fn_id", "left_anti")
 
 
-def chunk_overlap(df: DataFrame) -> DataFrame:
-    """Per pair of splits: chunk sequences in both, and those whose labels differ."""
+def _signatures(df: DataFrame) -> DataFrame:
+    """(sig, split, labels, id): the chunk sequences of each split by digest, their labels and first id."""
     sig = F.sha2(F.to_json("chunks"), 256)
-    per = df.where(F.size("chunks") > 0).groupBy(sig.alias("sig")).agg(F.collect_set("split").alias("splits"), F.count_distinct("target").alias("labels")).where(F.size("splits") > 1)
-    a = per.select("sig", "labels", F.explode("splits").alias("split_a"), "splits").select("labels", "split_a", F.explode("splits").alias("split_b")).where("split_a < split_b")
-    return a.groupBy("split_a", "split_b").agg(F.count(F.lit(1)).alias("signatures"), F.count(F.when(F.col("labels") > 1, 1)).alias("conflicting"))
+    return df.where(F.size("chunks") > 0).groupBy(sig.alias("sig"), "split").agg(F.sort_array(F.collect_set("target")).alias("labels"), F.min("fn_id").alias("id"))
+
+
+def _shared_signatures(df: DataFrame) -> DataFrame:
+    per = _signatures(df)
+    a, b = per.select("sig", F.col("split").alias("split_a"), F.col("labels").alias("la"), F.col("id").alias("id_a")), per.select("sig", F.col("split").alias("split_b"), F.col("labels").alias("lb"), F.col("id").alias("id_b"))
+    return a.join(b, "sig").where("split_a < split_b")
+
+
+def chunk_overlap(df: DataFrame) -> DataFrame:
+    """Per pair of splits: chunk sequences in both, and those whose labels in the two differ. Sequences are counted by digest and split before they meet."""
+    return _shared_signatures(df).groupBy("split_a", "split_b").agg(F.count(F.lit(1)).alias("signatures"), F.count(F.when(F.col("la") != F.col("lb"), 1)).alias("conflicting"))
+
+
+def chunk_overlap_examples(df: DataFrame, most: int = 10) -> DataFrame:
+    """(split_a, split_b, id_a, id_b): the first shared sequences of each pair of splits, by their first ids."""
+    place = F.row_number().over(W.partitionBy("split_a", "split_b").orderBy("id_a", "id_b"))
+    return _shared_signatures(df).withColumn("place", place).where(F.col("place") <= most).select("split_a", "split_b", "id_a", "id_b")
+
+
+def chunked(df: DataFrame, length: int = 512, overlap: int = 128, most: int = 8) -> DataFrame:
+    """df with ``chunks`` (framed windows of its text's words) and ``truncated``: whether words were left out. Texts without words have one empty window."""
+    words = F.when(F.length(trimmed("func")) > 0, F.split(trimmed("func"), r"\s+")).otherwise(F.array().cast("array<string>"))
+    x = bound(df.withColumn("__words", words), "__words")
+    return x.select(*df.columns, chunk_windows(F.col("__words"), length, overlap, most).alias("chunks"), (expected_chunks(F.size("__words"), length, overlap) > most).alias("truncated"))
 
 
 def chunk_statistics(df: DataFrame) -> DataFrame:
@@ -143,26 +181,3 @@ def chunk_windows(tokens: Column, length: int = 512, overlap: int = 128, most: i
     step = body - min(overlap, body - 1)
     k = F.least(F.lit(most), expected_chunks(F.size(tokens), length, overlap).cast("int"))
     return F.transform(F.sequence(F.lit(0), k - 1), lambda i: F.concat(F.array(F.lit(bos)), F.slice(tokens, i * step + 1, F.lit(body)), F.array(F.lit(eos))))
-
-
-def sample_order(seed: int, key: str = "fn_id") -> Column:
-    """A reproducible random order that other engines can compute: MD5 of seed and key."""
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
-
-
-def undersampled(df: DataFrame, ratio: float = 10.0, seed: int = 42, half_even: bool = False) -> DataFrame:
-    """All positives and ratio times as many negatives (cut or, half_even, rounded), the first in random order.
-
-    The negatives' cut-off is found by TakeOrdered on the order alone, not by a window over all rows."""
-    n = df.agg(F.count(F.when(F.col("target") == 1, 1))).first()[0]
-    want = round(n * ratio) if half_even else int(n * ratio)
-    negatives = df.where(F.col("target") == 0).withColumn("__o", sample_order(seed)).orderBy("__o", "fn_id").limit(want).drop("__o")
-    return df.where(F.col("target") == 1).unionByName(negatives)
-
-
-def folds(df: DataFrame, k: int = 5, seed: int = 42) -> DataFrame:
-    """(…, fold): rows of each class dealt to k folds in random order; fewer where a class is smaller, never under two."""
-    counts = {r.target: r.n for r in df.where(F.col("target").isin(0, 1)).groupBy("target").agg(F.count(F.lit(1)).alias("n")).collect()}
-    k = max(2, min(k, counts.get(0, 0), counts.get(1, 0)))
-    w = W.partitionBy("target").orderBy(sample_order(seed), "fn_id")
-    return df.where(F.col("target").isin(0, 1)).withColumn("fold", F.pmod(F.row_number().over(w) - 1, F.lit(k)))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
-from operator import or_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,6 +41,14 @@ SEVERITY_WEIGHT = {"CRITICAL": 1.0, "HIGH": 0.7, "MEDIUM": 0.4, "LOW": 0.2, "INF
 PENALTY = {"CRITICAL": 30, "HIGH": 15, "MEDIUM": 7, "LOW": 3}
 CONFIDENCE_BY_FUNCTION = {"gets": 0.99, "strcpy": 0.95, "strcat": 0.95, "sprintf": 0.95, "system": 0.95, "scanf": 0.90, "rand": 0.90, "md5": 0.98, "sha1": 0.98}
 CONFIDENCE_BY_TYPE = {"FORMAT_STRING": 0.90, "HARDCODED_SECRET": 0.85, "WEAK_CRYPTO": 0.95, "TAINT_FLOW": 0.90, "RULE_BASED": 0.85}
+# What marks a text's language, in the order of the test; java has one mark that needs both of two.
+LANGUAGE_MARKS = [
+    ("java", ["public class ", "private class ", "System.out.println"]),
+    ("python", ["def ", "import ", "print(", "elif "]),
+    ("javascript", ["console.log", "function ", "const ", "let ", "var "]),
+    ("cpp", ["#include", "std::", "int main", "using namespace"]),
+]
+JAVA_BOTH = ["class ", "public static void main"]
 ALIASES = {"js": "javascript", "py": "python", "c++": "cpp", "c": "cpp"}
 
 
@@ -56,20 +64,27 @@ def language_name(c: Column) -> Column:
 
 def detected_language(c: Column) -> Column:
     """The first of java, python, javascript and cpp whose marks a text has, else unknown."""
-    has = lambda *xs: reduce(or_, [F.contains(c, F.lit(x)) for x in xs])
-    java = has("public class ", "private class ", "System.out.println") | (has("class ") & has("public static void main"))
-    return F.coalesce(
-        F.when(java, "java").when(has("def ", "import ", "print(", "elif "), "python").when(has("console.log", "function ", "const ", "let ", "var "), "javascript").when(has("#include", "std::", "int main", "using namespace"), "cpp"),
-        F.lit("unknown"),
-    )
+    has = lambda xs: reduce(or_, [F.contains(c, F.lit(x)) for x in xs])
+    out = F.lit("unknown")
+    for name, marks in reversed(LANGUAGE_MARKS):
+        test = has(marks) | reduce(and_, [F.contains(c, F.lit(x)) for x in JAVA_BOTH]) if name == "java" else has(marks)
+        out = F.when(test, name).otherwise(out)
+    return out
+
+
+def _may_match(c: Column) -> Column:
+    """Whether a text has a line that any detector may match: each detector's pattern over the whole text, of which a line's match is one."""
+    joints = reduce(or_, [F.contains(c, F.lit(x)) for x in sorted({x for xs in SQL_JOINTS.values() for x in xs})])
+    rules = "|".join(f"(?:{p})" for _, _, p, _, _ in RULES) + "|" + FORMAT_STRING
+    return c.rlike("(?m)" + rules) | c.rlike(SECRET) | c.rlike("|".join(p for _, p in WEAK)) | (joints & F.upper(c).rlike(SQL_WORDS))
 
 
 def findings(df: DataFrame, key: str, code: str, language: Column | str) -> DataFrame:
     """(key, detector, type, function, severity, cwe, line), one row for each rule and line that matches.
 
-    language: a name, or a column of names (null means C). Patterns are literals, compiled once a task; lines are exploded once, in the JVM. Null texts have no line."""
+    language: a name, or a column of names (null means C). Patterns are literals, compiled once a task; only texts that some pattern matches are cut into lines, once, in the JVM. Null texts have no line."""
     lang = language if isinstance(language, Column) else F.lit(language)
-    ln = df.select(F.col(key), F.coalesce(lang, F.lit("cpp")).alias("lang"), F.posexplode(lines(F.col(code))).alias("pos", "text"))
+    ln = df.where(_may_match(F.col(code))).select(F.col(key), F.coalesce(lang, F.lit("cpp")).alias("lang"), F.posexplode(lines(F.col(code))).alias("pos", "text"))
     t, lg = F.col("text"), F.col("lang")
     entry = lambda when, n, kind, fn, sev, cwe: F.when(when, F.struct(F.lit(n).alias("detector"), F.lit(kind).alias("type"), fn.alias("function"), F.lit(sev).alias("severity"), F.lit(cwe).alias("cwe")))
     found = [entry((lg == l) & t.rlike(p), 1, "RULE_BASED", F.lit(fn), sev, cwe) for l, fn, p, sev, cwe in RULES]
@@ -102,3 +117,9 @@ def risk(df: DataFrame, found: DataFrame, key: str) -> DataFrame:
         score.cast("long").alias("security_score"),
         F.when(score >= 90, "LOW").when(score >= 70, "MEDIUM").when(score >= 40, "HIGH").otherwise("CRITICAL").alias("risk_level"),
     )
+
+
+def severity_summary(found: DataFrame, key: str) -> DataFrame:
+    """Per item with findings: their number, in all and of each severity (a missing one counts as MEDIUM)."""
+    sev = F.upper(F.coalesce("severity", F.lit("MEDIUM")))
+    return found.groupBy(key).agg(F.count(F.lit(1)).alias("total"), *[F.count(F.when(sev == s, 1)).alias(s.lower()) for s in SEVERITY_WEIGHT])

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from siltworks.functions import scalars
 from siltworks.functions.text import trimmed
-from siltworks.operators import corpus, detect, metrics, skew
+from siltworks.operators import corpus, detect, metrics, sampling, skew
 from siltworks.plans.runtime import table
 from siltworks.streaming import logs
 
@@ -19,6 +20,11 @@ def query(f):
     return f
 
 
+def rounded(df: DataFrame, digits: int = 9) -> DataFrame:
+    """df with its DOUBLE columns rounded, so that engines that add in another order give the same figures."""
+    return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
 def fns(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "code_functions")
 
@@ -151,54 +157,54 @@ def chunk_faults(spark, d):
 
 @query
 def chunk_windows(spark, d):
-    t = F.split(trimmed(F.coalesce("func", F.lit(""))), r"\s+")
-    w = fns(spark, d).where(F.length(trimmed("func")) > 0).select("fn_id", F.posexplode(corpus.chunk_windows(t, 64, 16, 8)).alias("chunk_no", "tokens"))
+    t = corpus.bound(fns(spark, d).where(F.length(trimmed("func")) > 0).select("fn_id", F.split(trimmed("func"), r"\s+").alias("t")), "t")
+    w = t.select("fn_id", F.posexplode(corpus.chunk_windows(F.col("t"), 64, 16, 8)).alias("chunk_no", "tokens"))
     return w.select("fn_id", F.col("chunk_no").cast("long").alias("chunk_no"), F.size("tokens").cast("long").alias("tokens"), F.md5(F.array_join("tokens", " ")).alias("digest"))
 
 
 @query
 def undersampled(spark, d):
-    return corpus.undersampled(fns(spark, d).where("split = 'train'")).select("fn_id", "target")
+    return sampling.undersampled(fns(spark, d).where("split = 'train'")).select("fn_id", "target")
 
 
 @query
 def folds(spark, d):
-    return corpus.folds(fns(spark, d)).select("fn_id", F.col("fold").cast("long").alias("fold"))
+    return sampling.folds(fns(spark, d)).select("fn_id", F.col("fold").cast("long").alias("fold"))
 
 
 @query
 def confusion_matrix(spark, d):
-    return metrics.confusion(preds(spark, d), F.col("score") >= 0.5, "split")
+    return rounded(metrics.confusion(preds(spark, d), F.col("score") >= 0.5, "split"))
 
 
 @query
 def threshold_sweep(spark, d):
-    return metrics.sweep(preds(spark, d))
+    return rounded(metrics.sweep(preds(spark, d)))
 
 
 @query
 def best_threshold(spark, d):
-    return metrics.best_threshold(preds(spark, d))
+    return rounded(metrics.best_threshold(preds(spark, d)))
 
 
 @query
 def ranking_scores(spark, d):
-    return metrics.ranking(preds(spark, d))
+    return rounded(metrics.ranking(preds(spark, d)))
 
 
 @query
 def brier(spark, d):
-    return metrics.brier(preds(spark, d))
+    return rounded(metrics.brier(preds(spark, d)))
 
 
 @query
 def reliability_bins(spark, d):
-    return metrics.reliability(preds(spark, d))
+    return rounded(metrics.reliability(preds(spark, d)))
 
 
 @query
 def calibration_error(spark, d):
-    return metrics.calibration_error(preds(spark, d))
+    return rounded(metrics.calibration_error(preds(spark, d)), 7)
 
 
 @query
@@ -210,8 +216,8 @@ def score_separation(spark, d):
 
 @query
 def focal_losses(spark, d):
-    x = metrics.logit(F.col("score"))
-    return preds(spark, d).groupBy("split").agg(F.round(F.avg(metrics.focal_loss(x, F.col("target").cast("double"), 2.0, 15.0)), 9).alias("focal"), F.round(F.avg(metrics.focal_loss(x, F.col("target").cast("double"), 0.0, 1.0)), 9).alias("bce"))
+    x = scalars.logit(F.col("score"))
+    return preds(spark, d).groupBy("split").agg(F.round(F.avg(scalars.focal_loss(x, F.col("target").cast("double"), 2.0, 15.0)), 9).alias("focal"), F.round(F.avg(scalars.focal_loss(x, F.col("target").cast("double"), 0.0, 1.0)), 9).alias("bce"))
 
 
 @query
@@ -226,16 +232,16 @@ def project_slices(spark, d):
     key = fns(spark, d).select("fn_id", F.lower(trimmed("project")).alias("project")).where("project <> ''")
     j = preds(spark, d).join(key, "fn_id")
     top = j.groupBy("project").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "project").limit(12)
-    return metrics.confusion(j.join(F.broadcast(top.select("project")), "project"), F.col("score") >= 0.5, "project")  # 12 rows
+    return rounded(metrics.confusion(j.join(F.broadcast(top.select("project")), "project"), F.col("score") >= 0.5, "project"))  # 12 rows
 
 
 @query
 def length_decile_slices(spark, d):
     """Confusion at 0.5 by deciles of text length (interpolated edges, left-closed, the last closed)."""
     j = preds(spark, d).where("split = 'test'").join(fns(spark, d).select("fn_id", F.length("func").alias("chars")), "fn_id").where("chars IS NOT NULL")
-    edges = j.agg(F.percentile("chars", F.array(*[F.lit(i / 10) for i in range(1, 10)])).alias("e"))
-    b = j.crossJoin(F.broadcast(edges)).withColumn("decile", F.size(F.filter("e", lambda x: x <= F.col("chars"))).cast("long"))  # edges: one row
-    return metrics.confusion(b, F.col("score") >= 0.5, "decile")
+    edges = metrics.quantiles(j, "split", "chars", [i / 10 for i in range(1, 10)])
+    b = j.join(F.broadcast(edges), "split").withColumn("decile", F.size(F.filter("edges", lambda x: x <= F.col("chars"))).cast("long"))  # one row
+    return rounded(metrics.confusion(b, F.col("score") >= 0.5, "decile"))
 
 
 @query
@@ -272,7 +278,7 @@ def rule_baseline(spark, d):
     """Confusion of the rule score above 0 by split."""
     f = fns(spark, d).where(F.col("target").isin(0, 1))
     r = detect.risk(f, detect.unique_findings(detect.findings(f, "fn_id", "func", "cpp"), "fn_id"), "fn_id")
-    return metrics.confusion(f.select("fn_id", "split", "target").join(r, "fn_id"), F.col("rule_score") > 0, "split")
+    return rounded(metrics.confusion(f.select("fn_id", "split", "target").join(r, "fn_id"), F.col("rule_score") > 0, "split"))
 
 
 @query

@@ -6,6 +6,7 @@ from siltworks.operators.detect import ALIASES, CONFIDENCE_BY_FUNCTION, CONFIDEN
 from siltworks.operators.metrics import SWEEP
 
 SP = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+WITHIN = SP.replace(r"\t-\r", r"\t\x0b-\r")
 q = lambda s: "'" + s.replace("'", "''") + "'"
 
 
@@ -15,7 +16,7 @@ def trim(x: str) -> str:
 
 def norm(x: str) -> str:
     a = f"regexp_replace(coalesce({x}, ''), '\\r\\n?', chr(10), 'g')"
-    b = f"regexp_replace({a}, '[ \\t\\x0b\\x0c\\x1c-\\x1f\\x{{85}}\\x{{a0}}]+(\\n|$)', '\\1', 'g')"
+    b = f"regexp_replace({a}, '[{WITHIN}]+(\\n|$)', '\\1', 'g')"
     return trim(f"regexp_replace({b}, '\\n{{3,}}', chr(10) || chr(10), 'g')")
 
 
@@ -32,8 +33,9 @@ CWES = f"list_filter([{trim('x')} FOR x IN coalesce(cwe, [])], lambda x: x <> ''
 TOKENS = f"string_split_regex({trim(chr(99) + 'oalesce(func, ' + q('') + ')')}, '\\s+')"
 
 
-def rates(src: str, by: str) -> str:
-    d = lambda a, b: f"round(CASE WHEN ({b}) = 0 THEN 0.0 ELSE ({a})::DOUBLE / ({b}) END, 9)"
+def rates(src: str, by: str, digits: int | None = 9) -> str:
+    share = lambda a, b: f"CASE WHEN ({b}) = 0 THEN 0.0 ELSE ({a})::DOUBLE / ({b}) END"
+    d = lambda a, b: share(a, b) if digits is None else f"round({share(a, b)}, {digits})"
     root = "sqrt((tp + fp)::DOUBLE * (tp + fn) * (tn + fp) * (tn + fn))"
     return f"SELECT {by}, tn, fp, fn, tp, {d('tp + tn', 'tp + tn + fp + fn')} AS accuracy, {d('tp', 'tp + fp')} AS precision, {d('tp', 'tp + fn')} AS recall, {d('2 * tp', '2 * tp + fp + fn')} AS f1, {d('tp::DOUBLE * tn - fp::DOUBLE * fn', root)} AS mcc FROM ({src})"
 
@@ -45,6 +47,7 @@ def confusion(src: str, flag: str, by: str) -> str:
 
 GRID = "(SELECT unnest([" + ", ".join(f"{t}::DOUBLE" for t in SWEEP) + "]) AS threshold)"
 SWEEP_SQL = rates(f"SELECT split, threshold, count(*) FILTER (score < threshold AND target = 0) AS tn, count(*) FILTER (score >= threshold AND target = 0) AS fp, count(*) FILTER (score < threshold AND target = 1) AS fn, count(*) FILTER (score >= threshold AND target = 1) AS tp FROM {PRED}, {GRID} GROUP BY split, threshold", "split, threshold")
+SWEEP_RAW = rates(f"SELECT split, threshold, count(*) FILTER (score < threshold AND target = 0) AS tn, count(*) FILTER (score >= threshold AND target = 0) AS fp, count(*) FILTER (score < threshold AND target = 1) AS fn, count(*) FILTER (score >= threshold AND target = 1) AS tp FROM {PRED}, {GRID} GROUP BY split, threshold", "split, threshold", None)
 
 KEYS = " UNION ALL ".join(
     f"SELECT split, fn_id, target, '{d}' AS dim, {e} AS key FROM code_functions WHERE {e} <> ''"
@@ -103,7 +106,7 @@ def oracle_sql() -> dict[str, str]:
         "leaking_rows": LEAK + " SELECT fn_id, dim FROM l",
         "cleaned_train": LEAK + " SELECT fn_id, target FROM code_functions WHERE split = 'train' AND fn_id NOT IN (SELECT fn_id FROM l)",
         "first_label_conflicts": f"WITH f AS (SELECT split, {chash('func')} AS h, fn_id, target FROM code_functions WHERE length({trim('func')}) > 0), g AS (SELECT split, h, target AS label FROM f QUALIFY row_number() OVER (PARTITION BY split, h ORDER BY fn_id) = 1) SELECT a.split AS split_a, b.split AS split_b, count(*) AS shared, count(*) FILTER (a.label IS DISTINCT FROM b.label) AS conflicts FROM g a JOIN g b ON a.h = b.h AND a.split < b.split GROUP BY ALL",
-        "chunk_overlap": "WITH g AS (SELECT chunks, list_sort(list(DISTINCT split)) AS s, count(DISTINCT target) AS labels FROM chunked_functions WHERE len(chunks) > 0 GROUP BY chunks), p AS (SELECT labels, a.x AS split_a, b.x AS split_b FROM g, unnest(s) AS a(x), unnest(s) AS b(x) WHERE a.x < b.x) SELECT split_a, split_b, count(*) AS signatures, count(*) FILTER (labels > 1) AS conflicting FROM p GROUP BY ALL",
+        "chunk_overlap": "WITH g AS (SELECT chunks, split, list_sort(list(DISTINCT target) FILTER (target IS NOT NULL)) AS labels FROM chunked_functions WHERE len(chunks) > 0 GROUP BY chunks, split) SELECT a.split AS split_a, b.split AS split_b, count(*) AS signatures, count(*) FILTER (a.labels <> b.labels) AS conflicting FROM g a JOIN g b USING (chunks) WHERE a.split < b.split GROUP BY ALL",
         "chunk_statistics": "SELECT split, count(*) AS functions, sum(n)::BIGINT AS chunks, round(avg(n), 9) AS mean_chunks, max(n) AS max_chunks, count(*) FILTER (n = 1) AS single, count(*) FILTER (n > 1) AS multi, count(*) FILTER (truncated) AS truncated, count(*) FILTER (target = 1) AS positives FROM (SELECT *, coalesce(len(chunks), 0) AS n FROM chunked_functions) GROUP BY split",
         "chunk_faults": "SELECT fn_id, split, num_chunks::BIGINT AS told, coalesce(len(chunks), 0) AS counted, len(list_filter(chunks, lambda x: len(x) = 0)) > 0 AS empty_chunk FROM chunked_functions WHERE told <> counted OR empty_chunk",
         "chunk_windows": f"WITH t AS (SELECT fn_id, {TOKENS} AS t FROM code_functions WHERE length({trim('func')}) > 0), n AS (SELECT *, least(8, CASE WHEN len(t) <= 62 THEN 1 ELSE 1 + ceil((len(t) - 62) / 46)::BIGINT END) AS k FROM t), w AS (SELECT fn_id, i AS chunk_no, ['<s>'] || t[i * 46 + 1 : i * 46 + 62] || ['</s>'] AS w FROM n, unnest(range(k)) AS r(i)) SELECT fn_id, chunk_no, len(w) AS tokens, md5(array_to_string(w, ' ')) AS digest FROM w",
@@ -111,7 +114,7 @@ def oracle_sql() -> dict[str, str]:
         "folds": "SELECT fn_id, (row_number() OVER (PARTITION BY target ORDER BY md5('42:' || fn_id), fn_id) - 1) % 5 AS fold FROM code_functions WHERE target IN (0, 1)",
         "confusion_matrix": confusion(PRED, "score >= 0.5", "split"),
         "threshold_sweep": SWEEP_SQL,
-        "best_threshold": f"WITH s AS ({SWEEP_SQL}), o AS (SELECT split, threshold, unnest(['f1', 'fbeta', 'mcc', 'recall_at_precision']) AS objective, unnest([f1, CASE WHEN 4 * precision + recall = 0 THEN 0.0 ELSE round(5.0 * precision * recall / (4.0 * precision + recall), 9) END, mcc, round(CASE WHEN precision >= 0.5 THEN 1 + recall ELSE precision / 0.5 END, 9)]) AS value FROM s) SELECT split, objective, value, threshold FROM o QUALIFY row_number() OVER (PARTITION BY split, objective ORDER BY value DESC, threshold) = 1",
+        "best_threshold": f"WITH s AS ({SWEEP_RAW}), o AS (SELECT split, threshold, unnest(['f1', 'fbeta', 'mcc', 'recall_at_precision']) AS objective, unnest([f1, CASE WHEN 4.0 * precision + recall = 0 THEN 0.0 ELSE 5.0 * precision * recall / (4.0 * precision + recall) END, mcc, CASE WHEN precision >= 0.5 THEN 1 + recall ELSE precision / 0.5 END]) AS value FROM s) SELECT split, objective, round(max(value), 9) AS value, arg_min(threshold, (-value, threshold)) AS threshold FROM o GROUP BY split, objective",
         "ranking_scores": f"WITH g AS (SELECT split, score, count(*) FILTER (target = 1) AS p, count(*) FILTER (target = 0) AS n FROM {PRED} GROUP BY ALL), w AS (SELECT *, sum(p) OVER (PARTITION BY split ORDER BY score DESC) AS tp, sum(n) OVER (PARTITION BY split ORDER BY score DESC) AS fp, sum(p) OVER (PARTITION BY split) AS ps, sum(n) OVER (PARTITION BY split) AS ns FROM g) SELECT split, ps::BIGINT AS positives, ns::BIGINT AS negatives, round(sum(n * (tp - p / 2)) / (ps::DOUBLE * ns), 9) AS roc_auc, round(sum((p / ps::DOUBLE) * (tp::DOUBLE / (tp + fp))), 9) AS average_precision FROM w GROUP BY split, ps, ns",
         "brier": f"SELECT split, count(*) AS n, round(avg((score - target) * (score - target)), 9) AS brier, round(avg(target::DOUBLE), 9) AS positive_rate FROM {PRED} GROUP BY split",
         "reliability_bins": REL + " SELECT * FROM r",

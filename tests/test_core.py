@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from siltworks import queries, sql
-from siltworks.functions import text
-from siltworks.operators import corpus, detect, metrics, skew
+from siltworks.functions import scalars, text
+from siltworks.operators import corpus, detect, metrics, sampling, skew
 
 SF = "/root/testdata/sf0.001"
 FUNCTIONS = "fn_id long, split string, func string, target int, cwe array<string>, project string, commit_id string, cve string, idx string, big_vul_idx string, hash string"
@@ -82,10 +82,10 @@ def test_sweep_is_the_confusion_at_each_threshold(spark):
 
 
 def test_focal_loss_without_focus_is_cross_entropy(spark):
-    r = spark.range(1).select(metrics.focal_loss(F.lit(0.7), F.lit(1.0), 0.0, 1.0).alias("l")).first()
+    r = spark.range(1).select(scalars.focal_loss(F.lit(0.7), F.lit(1.0), 0.0, 1.0).alias("l")).first()
     assert r.l == pytest.approx(math.log(1 + math.exp(-0.7)))
     with pytest.raises(ValueError):
-        metrics.focal_loss(F.lit(0.0), F.lit(1.0), -1.0, 1.0)
+        scalars.focal_loss(F.lit(0.0), F.lit(1.0), -1.0, 1.0)
 
 
 def leaky(spark):
@@ -105,7 +105,7 @@ def test_audit_and_cleaning(spark):
 
 def test_empty_tables(spark):
     df = spark.createDataFrame([], FUNCTIONS)
-    for out in (corpus.split_audit(df), corpus.internal_duplicates(df), corpus.cleaned_train(df), corpus.label_report(df), corpus.preprocess_counters(df), corpus.undersampled(df), corpus.folds(df)):
+    for out in (corpus.split_audit(df), corpus.internal_duplicates(df), corpus.cleaned_train(df), corpus.label_report(df), corpus.preprocess_counters(df), sampling.undersampled(df), sampling.folds(df)):
         assert out.collect() == []
     assert skew.project_profile(df).collect() == []
     p = predictions(spark, [], [])
