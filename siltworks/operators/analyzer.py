@@ -30,12 +30,13 @@ def analysed(df: DataFrame, key: str, code: str, language: Column | str | None =
 
 
 def scores(df: DataFrame, key: str = "fn_id", code: str = "func", language: str = "cpp") -> DataFrame:
-    """(key, rules_only, taint_only, rules_taint): the summed severity weights, 1 at most, of the rules' findings, the flows, and both without repeats. All three come from one pass over the texts."""
+    """(key, rules_only, taint_only, rules_taint): the summed severity weights, 1 at most, of the rules' findings, of the flows, and of both without repeats. All three come from one pass over the texts; a text that cannot be read (null) scores 0."""
     weight = detect.lookup(detect.SEVERITY_WEIGHT, F.col("severity"), F.lit(0.4))
-    u = detect.unique_findings(all_findings(df, key, code, language), key)
+    found = all_findings(df, key, code, language)
+    each = found.groupBy(key, "type", "cwe", "line", "function").agg(F.min_by("severity", "detector").alias("severity"), F.sum(weight).alias("raw"))
     flow = F.col("type") == "TAINT_FLOW"
-    score = lambda c: F.least(F.lit(1.0), F.coalesce(F.sum(F.when(c, weight)), F.lit(0.0)))
-    per = u.groupBy(key).agg(score(~flow).alias("rules_only"), score(flow).alias("taint_only"), score(F.lit(True)).alias("rules_taint"))
+    score = lambda c, w: F.least(F.lit(1.0), F.coalesce(F.sum(F.when(c, w)), F.lit(0.0)))
+    per = each.groupBy(key).agg(score(~flow, F.col("raw")).alias("rules_only"), score(flow, F.col("raw")).alias("taint_only"), score(F.lit(True), weight).alias("rules_taint"))
     return df.select(key).join(per, key, "left").na.fill(0.0, list(SCORERS))
 
 

@@ -184,7 +184,7 @@ def slices(df: DataFrame, threshold: float, top: int = 12) -> DataFrame:
 
     df has target, score, truncated, chunks, cwe (array) and project. A row of several classes is in each of their slices."""
     truncated = F.when(F.col("truncated"), "truncated").otherwise("whole")
-    one = F.array(F.struct(F.lit("truncation").alias("slice"), truncated.alias("value")), F.struct(F.lit("chunks"), F.coalesce(F.col("chunks").cast("string"), F.lit("none"))))
+    one = F.array(F.struct(F.lit("truncation").alias("slice"), truncated.alias("value")), F.struct(F.lit("chunks").alias("slice"), F.coalesce(F.col("chunks").cast("string"), F.lit("none")).alias("value")))
     classes = F.transform(F.array_distinct(coerced_cwe(F.col("cwe"))), lambda c: F.struct(F.lit("cwe").alias("slice"), c.alias("value")))
     project = F.when(label_key(F.col("project")).isNotNull(), F.array(F.struct(F.lit("project").alias("slice"), label_key(F.col("project")).alias("value")))).otherwise(F.array().cast("array<struct<slice:string,value:string>>"))
     x = df.select("target", "score", F.inline(F.concat(one, classes, project)))

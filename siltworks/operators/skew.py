@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siltworks.functions.text import label_key
+from siltworks.plans.runtime import materialize
 
 
 def salted_join(left: DataFrame, right: DataFrame, key: str, how: str = "left", salts: int = 16) -> DataFrame:
@@ -18,11 +19,12 @@ def salted_join(left: DataFrame, right: DataFrame, key: str, how: str = "left",
     return left.join(right, [key, "__salt"], how).drop("__salt")
 
 
-def key_states(df: DataFrame, key: Column, sums: dict[str, Column], name: str = "key") -> DataFrame:
+def key_states(df: DataFrame, key: Column, sums: dict[str, Column], name: str = "key", nulls: bool = False) -> DataFrame:
     """One compact state for each key: its rows (``n``) and the sums named.
 
-    The sums are partial before the shuffle, so a key with a third of all rows moves as one row for each map task. Rows with a null key form no group."""
-    return df.select(key.alias(name), *[v.alias(k) for k, v in sums.items()]).where(F.col(name).isNotNull()).groupBy(name).agg(F.count(F.lit(1)).alias("n"), *[F.sum(k).alias(k) for k in sums])
+    The sums are partial before the shuffle, so a key with a third of all rows moves as one row for each map task. Rows with a null key form no group or, nulls, one of their own."""
+    keyed = df.select(key.alias(name), *[v.alias(k) for k, v in sums.items()])
+    return (keyed if nulls else keyed.where(F.col(name).isNotNull())).groupBy(name).agg(F.count(F.lit(1)).alias("n"), *[F.sum(k).alias(k) for k in sums])
 
 
 def eager_join_states(left: DataFrame, right: DataFrame, name: str = "key", how: str = "left") -> DataFrame:
@@ -45,7 +47,7 @@ def eager_join_states(left: DataFrame, right: DataFrame, name: str = "key", how:
 def project_profile(functions: DataFrame, documents: DataFrame | None = None) -> DataFrame:
     """Per project: rows, share of all rows, label counts and rate, size of the texts and, with documents, the figures of the join of both tables by project.
 
-    Labels other than 0 and 1 and null texts add nothing to their sums. A rate without labels is null. Both tables are aggregated by project before they meet. Empty tables give an empty result; a null or blank project forms no group but counts in the total."""
+    Labels other than 0 and 1 and null texts add nothing to their sums. A rate without labels is null. Both tables are aggregated by project before they meet; the states, one row a project, are written, so that the table is read once for them and for the total. Empty tables give an empty result; a null or blank project forms no group but counts in the total."""
     t = F.col("target")
     sums = {
         "positives": F.when(t == 1, 1).otherwise(0).cast("long"),
@@ -53,8 +55,9 @@ def project_profile(functions: DataFrame, documents: DataFrame | None = None) ->
         "chars": F.coalesce(F.length("func"), F.lit(0)).cast("long"),
         "oversized": F.when(F.length("func") > 6000, 1).otherwise(0).cast("long"),
     }
-    states = key_states(functions, label_key(F.col("project")), sums, "project")
-    total = functions.agg(F.count(F.lit(1)).alias("total"))
+    states = materialize(key_states(functions, label_key(F.col("project")), sums, "project", nulls=True))
+    total = states.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
+    states = states.where(F.col("project").isNotNull())
     if documents is None:
         other = functions.sparkSession.createDataFrame([], T.StructType([T.StructField("project", T.StringType()), T.StructField("n", T.LongType()), T.StructField("chars", T.LongType())]))
     else:
@@ -78,5 +81,5 @@ def project_profile(functions: DataFrame, documents: DataFrame | None = None) ->
 
 
 def hot_projects(functions: DataFrame, documents: DataFrame | None = None, least_share_percent: int = 4) -> DataFrame:
-    """The profiles of the projects that hold at least the given share of all rows, rows without a project counted in the total."""
-    return project_profile(functions, documents).where(F.col("rows") * 100 >= F.col("total") * least_share_percent)
+    """The profiles of the projects that hold at least the given share of all rows, rows without a project counted in the total. The whole profile, the join's figures included, is computed and written first."""
+    return materialize(project_profile(functions, documents)).where(F.col("rows") * 100 >= F.col("total") * least_share_percent)
