@@ -13,6 +13,7 @@ from siltworks.functions.text import folded
 from siltworks.llm import sketch
 from siltworks.llm.shingles import chunks, mix, shingle_sets
 from siltworks.llm.split import components
+from siltworks.operators.skew import salted_join
 from siltworks.plans.runtime import materialize
 
 #: Sketch words used of a band, the most sets that a word may tie together directly, and the rows of one word that a task holds at once.
@@ -224,10 +225,11 @@ def near_pairs(df: DataFrame, key: str = "fn_id", text: str = "func", k: int = 5
 
 
 def near_groups(df: DataFrame, key: str = "fn_id", text: str = "func", k: int = 5, t: float = 0.8) -> DataFrame:
-    """(key, group_id, links): one row for each row with words, its group (rows tied by near links and copies, named by a member's id) and the number of other classes its class is linked to."""
+    """(key, group_id, links): one row for each row with words, its group (rows tied by near links and copies, named by the least id) and the number of other classes its class is linked to."""
     links, members = near_links(df, key, text, k, t)
     links, members = materialize(links), materialize(members)
     ends = links.select(F.col("a").alias("rep"), F.col("b").alias("other")).union(links.select("b", "a"))
     degree = ends.groupBy("rep").agg(F.count(F.lit(1)).alias("links"))
-    parts = components(links.select(F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b"))).select(F.col("node").cast("long").alias("rep"), F.col("component").cast("long").alias("group_id"))
+    parts = components(links.select(F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b"))).select(F.col("node").cast("long").alias("rep"), "component")
+    parts = salted_join(parts, parts.groupBy("component").agg(F.min("rep").alias("group_id")), "component", "inner").select("rep", "group_id")
     return members.join(degree, "rep", "left").join(parts, "rep", "left").select(F.col("id").alias(key), F.coalesce("group_id", "rep").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"))
