@@ -71,7 +71,7 @@ def test_one_class_has_no_auc(spark):
 
 
 def test_sweep_is_the_confusion_at_each_threshold(spark):
-    df = predictions(spark, [0.05] * 90 + [0.30, 0.32, 0.28, 0.35, 0.31] * 2, [0] * 90 + [1] * 10)
+    df = predictions(spark, [i / 200 for i in range(70)] + [0.41, 0.44, 0.62], [0] * 70 + [1] * 3)
     rows = metrics.sweep(df).collect()
     assert len(rows) == 91
     for r in rows[::9]:
@@ -88,19 +88,30 @@ def test_focal_loss_without_focus_is_cross_entropy(spark):
         scalars.focal_loss(F.lit(0.0), F.lit(1.0), -1.0, 1.0)
 
 
-def leaky(spark):
-    rows = [(i, "train", f"int f{i}(void)", 0, str(i)) for i in range(12)] + [(20, "train", "shared", 1, "s"), (21, "train", "train side", 0, "hID"), (22, "train", "int f0(void)", 0, "99")]
-    rows += [(30 + i, "valid", f"int g{i}(void)", 0, f"v{i}") for i in range(8)] + [(40, "valid", "shared", 0, "w"), (50, "test", "other body", 0, "hID")]
-    return spark.createDataFrame([(i, s, f, t, None, None, None, None, None, None, h) for i, s, f, t, h in rows], FUNCTIONS)
+def with_overlaps(spark):
+    """Five training rows of their own; one text that valid holds under another label, one that test holds with other blanks, one hash that test has too, one number that valid has too."""
+    text = lambda i: f"total += rate[{i}];"
+    rows = [(i, "train", text(i), i % 2, f"t{i}", None) for i in range(5)]
+    rows += [(10, "train", text(70), 1, "u1", None), (11, "train", "while (k)  k--;", 0, "u2", None), (12, "train", text(71), 0, "both", None), (13, "train", text(72), 0, "u3", "88")]
+    rows += [(20, "valid", text(70), 0, "v1", None), (21, "valid", text(73), 0, "v2", "88"), (22, "valid", text(74), 1, "v3", "")]
+    rows += [(30, "test", "while (k)\n\tk--;", 0, "w1", None), (31, "test", text(75), 1, "both", None), (32, "test", None, 0, None, "")]
+    return spark.createDataFrame([(i, s, f, t, None, None, None, None, None, n, h) for i, s, f, t, h, n in rows], FUNCTIONS)
 
 
 def test_audit_and_cleaning(spark):
-    df = leaky(spark)
+    df = with_overlaps(spark)
     a = {(r.dim, r.left_split, r.right_split): r for r in corpus.split_audit(df).collect()}
-    assert a["exact_code", "train", "valid"].shared_keys == 1 and a["exact_code", "train", "valid"].label_conflicts == 1
-    assert a["hash", "train", "test"].shared_keys == 1
-    assert {r.fn_id for r in corpus.leaking_rows(df).select("fn_id").collect()} == {20, 21}
-    assert corpus.cleaned_train(df).count() == 13
+    assert {k: (r.shared_keys, r.label_conflicts) for k, r in a.items()} == {
+        ("exact_code", "train", "valid"): (1, 1), ("normalized_code", "train", "valid"): (1, 1), ("normalized_code", "train", "test"): (1, 0), ("hash", "train", "test"): (1, 1), ("big_vul_idx", "train", "valid"): (1, 0),
+    }
+    assert {(r.fn_id, r.dim) for r in corpus.leaking_rows(df).collect()} == {(10, "exact_code"), (10, "normalized_code"), (11, "normalized_code"), (12, "hash"), (13, "big_vul_idx")}
+    assert {r.fn_id for r in corpus.cleaned_train(df).collect()} == {0, 1, 2, 3, 4}
+
+
+def test_first_rows_are_one_a_text_even_where_ids_repeat(spark):
+    rows = [(1, "train", "a  b", 1), (1, "train", "a b", 1), (1, "train", "c", 0), (2, "train", "a b", 0), (3, "train", " ", 1), (4, "train", "d", 7)]
+    df = spark.createDataFrame([(i, s, f, t, None, None, None, None, None, None, None) for i, s, f, t in rows], FUNCTIONS)
+    assert sorted(r.fn_id for r in corpus.kept_first(df).collect()) == [1, 1]
 
 
 def test_empty_tables(spark):
@@ -114,9 +125,9 @@ def test_empty_tables(spark):
 
 
 @pytest.mark.parametrize("language, code, wanted", [
-    ("python", "user_input = input()\neval(user_input)", {("eval", "CWE-95", 2)}),
-    ("python", 'q = "SELECT * FROM users WHERE id = " + user_id', {("SQL_QUERY", "CWE-89", 1)}),
-    ("python", 'cursor.execute(\n"SELECT * FROM users WHERE id = ?",\n(user_id,),\n)', set()),
+    ("python", "n = 1\neval(n + 1)", {("eval", "CWE-95", 2)}),
+    ("python", 'q = "SELECT a FROM bins WHERE b = " + wanted', {("SQL_QUERY", "CWE-89", 1)}),
+    ("python", 'run(\n"SELECT a FROM bins WHERE b = ?",\n(wanted,),\n)', set()),
     ("cpp", "gets(b);\nprintf(b);\nscanf(\"%s\", b);", {("gets", "CWE-242", 1), ("printf", "CWE-134", 2), ("scanf", "CWE-120", 3)}),
     ("cobol", "gets(b)", set()),
     (None, "gets(b)", {("gets", "CWE-242", 1)}),
