@@ -72,25 +72,23 @@ def detected_language(c: Column) -> Column:
     return out
 
 
-def _may_match(c: Column) -> Column:
-    """Whether a text has a line that any detector may match: each detector's pattern over the whole text, of which a line's match is one."""
-    joints = reduce(or_, [F.contains(c, F.lit(x)) for x in sorted({x for xs in SQL_JOINTS.values() for x in xs})])
-    rules = "|".join(f"(?:{p})" for _, _, p, _, _ in RULES) + "|" + FORMAT_STRING
-    return c.rlike("(?m)" + rules) | c.rlike(SECRET) | c.rlike("|".join(p for _, p in WEAK)) | (joints & F.upper(c).rlike(SQL_WORDS))
+def _has(c: Column, pattern: str, *words: str) -> Column:
+    """Whether a line matches a pattern; the pattern is tried only on lines that hold one of the words that every match holds, which is a plain search."""
+    return reduce(or_, [F.contains(c, F.lit(w)) for w in words]) & c.rlike(pattern)
 
 
 def findings(df: DataFrame, key: str, code: str, language: Column | str) -> DataFrame:
     """(key, detector, type, function, severity, cwe, line), one row for each rule and line that matches.
 
-    language: a name, or a column of names (null means C). Patterns are literals, compiled once a task; only texts that some pattern matches are cut into lines, once, in the JVM. Null texts have no line."""
+    language: a name, or a column of names (null means C). Patterns are literals, compiled once a task; lines are exploded once, in the JVM. Null texts have no line."""
     lang = language if isinstance(language, Column) else F.lit(language)
-    ln = df.where(_may_match(F.col(code))).select(F.col(key), F.coalesce(lang, F.lit("cpp")).alias("lang"), F.posexplode(lines(F.col(code))).alias("pos", "text"))
+    ln = df.select(F.col(key), F.coalesce(lang, F.lit("cpp")).alias("lang"), F.posexplode(lines(F.col(code))).alias("pos", "text"))
     t, lg = F.col("text"), F.col("lang")
     entry = lambda when, n, kind, fn, sev, cwe: F.when(when, F.struct(F.lit(n).alias("detector"), F.lit(kind).alias("type"), fn.alias("function"), F.lit(sev).alias("severity"), F.lit(cwe).alias("cwe")))
-    found = [entry((lg == l) & t.rlike(p), 1, "RULE_BASED", F.lit(fn), sev, cwe) for l, fn, p, sev, cwe in RULES]
-    found.append(entry((lg == "cpp") & t.rlike(FORMAT_STRING), 2, "FORMAT_STRING", F.regexp_extract(t, FORMAT_STRING, 1), "HIGH", "CWE-134"))
-    found.append(entry(t.rlike(SECRET), 3, "HARDCODED_SECRET", F.lower(F.regexp_extract(t, SECRET, 1)), "HIGH", "CWE-798"))
-    found += [entry(t.rlike(p), 4, "WEAK_CRYPTO", F.lit(fn), "MEDIUM", "CWE-327") for fn, p in WEAK]
+    found = [entry((lg == l) & _has(t, p, fn.split(".")[0] if fn == "Runtime.exec" else fn), 1, "RULE_BASED", F.lit(fn), sev, cwe) for l, fn, p, sev, cwe in RULES]
+    found.append(entry((lg == "cpp") & _has(t, FORMAT_STRING, "printf", "syslog"), 2, "FORMAT_STRING", F.regexp_extract(t, FORMAT_STRING, 1), "HIGH", "CWE-134"))
+    found.append(entry(_has(t, SECRET, "\"", "'"), 3, "HARDCODED_SECRET", F.lower(F.regexp_extract(t, SECRET, 1)), "HIGH", "CWE-798"))
+    found += [entry(_has(t, p, fn[-1]), 4, "WEAK_CRYPTO", F.lit(fn), "MEDIUM", "CWE-327") for fn, p in WEAK]
     joints = lambda xs: reduce(or_, [F.contains(t, F.lit(x)) for x in xs])
     joined = F.when(lg == "python", joints(SQL_JOINTS["python"])).when(lg == "javascript", joints(SQL_JOINTS["javascript"])).otherwise(joints(SQL_JOINTS["other"]))
     found.append(entry(joined & F.upper(t).rlike(SQL_WORDS), 5, "SQL_INJECTION", F.lit("SQL_QUERY"), "HIGH", "CWE-89"))

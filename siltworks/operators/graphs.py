@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from siltworks.functions.text import lines, trimmed
 from siltworks.operators import cparse
-from siltworks.plans.runtime import materialize
+from siltworks.plans.runtime import materialize, spread
 
 _SCHEMA = "key long, part string, id long, type string, source long, target long, start_line int, end_line int, start long, end long, text string, variable string"
 # Nodes that no finding is linked to, and those that are preferred.
@@ -46,7 +46,7 @@ class Graphs:
         lang = F.coalesce(language, F.lit("cpp")) if language is not None else F.lit("cpp")
         self.texts = df.where(lang.isin(*LANGUAGES) & (F.length(trimmed(F.col(code))) > 0)).select(F.col(key).cast("long").alias("key"), F.col(code).alias("code"))
         self.key = key
-        self.rows = materialize(self.texts.mapInArrow(_rows, _SCHEMA))
+        self.rows = materialize(spread(self.texts).mapInArrow(_rows, _SCHEMA))
 
     def part(self, name: str) -> DataFrame:
         return self.rows.where(F.col("part") == name)

@@ -42,3 +42,9 @@ def delete_at_end(spark: SparkSession, path: str) -> None:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows of a scan over as many partitions as there are cores at least, for work that takes longer than moving them. A table of more partitions, as any large one, stays as it is; df must be a scan with projections and filters only."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from siltworks.functions import scalars
 from siltworks.functions.text import trimmed
 from siltworks.operators import corpus, detect, metrics, sampling, skew
-from siltworks.plans.runtime import table
+from siltworks.plans.runtime import spread, table
 from siltworks.streaming import logs
 
 Q: dict = {}
@@ -26,7 +26,7 @@ def rounded(df: DataFrame, digits: int = 9) -> DataFrame:
 
 
 def fns(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "code_functions")
+    return spread(table(spark, d, "code_functions"))
 
 
 def preds(spark: SparkSession, d: str) -> DataFrame:

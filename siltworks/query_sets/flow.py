@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siltworks.operators import analyzer, detect, graphs, pooling, taint
-from siltworks.plans.runtime import table
+from siltworks.plans.runtime import spread, table
 from siltworks.operators.detect import SEVERITY_WEIGHT
 from siltworks.queries import rounded
 from siltworks.sql import FN_FINDINGS, LANG, q, trim
 
 
 def functions(spark, d):
-    return table(spark, d, "code_functions")
+    return spread(table(spark, d, "code_functions"))
 
 
 def samples(spark, d):
