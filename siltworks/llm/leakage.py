@@ -157,17 +157,12 @@ def latent_basis(words: DataFrame, idf: np.ndarray, fit: int = FIT, seed: int =
     return q[:, :RANK]
 
 
-def _windows(words: np.ndarray, starts: np.ndarray, idf: np.ndarray, basis: np.ndarray) -> np.ndarray:
-    """Unit latent vectors of the passages of RUN words (fewer at a text's end) that begin at the given words; each word adds its weight times its latent vector."""
-    term = _terms(words)
-    latent = idf[term][:, None] * basis[term]
-    total = np.zeros((len(starts), basis.shape[1]), np.float32)
-    for j in range(RUN):
-        at = starts + j
-        ok = at < len(words)
-        total[ok] += latent[at[ok]]
-    norm = np.linalg.norm(total, axis=1, keepdims=True)
-    return total / np.maximum(norm, 1e-12)
+def _windows(words: np.ndarray, starts: np.ndarray, weighted: np.ndarray) -> np.ndarray:
+    """Unit latent vectors of the passages of RUN words (fewer at a text's end) that begin at the given words: each word adds its term's row of ``weighted``, the basis times the terms' weights."""
+    upto = np.zeros((len(words) + 1, weighted.shape[1]), np.float32)
+    np.cumsum(weighted[_terms(words)], axis=0, out=upto[1:])
+    total = upto[np.minimum(starts + RUN, len(words))] - upto[starts]
+    return total / np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-12)
 
 
 def cells(queries: np.ndarray, seed: int = 7) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -248,19 +243,20 @@ def _search(shared):
     """(id, words) -> (doc_id, item_id, cosine, run, subsequence, answer) of every document and item of the block with passages whose latent cosine reaches the threshold, or with a run of 12 words in common."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        idf, basis, owner, queries, (centres, members), items = shared.value  # items: id -> (words, words of the answer)
+        weighted, owner, queries, (centres, members), items = shared.value  # items: id -> (words, words of the answer)
         held = [(set(w.tolist()), set(_runs(w).tolist())) for _, w, _ in items]
         with_run: dict[int, list[int]] = {}
         for k, (_, own_runs) in enumerate(held):
             for r in own_runs:
                 with_run.setdefault(r, []).append(k)
+        known = np.sort(np.fromiter(with_run, np.uint64, len(with_run)))
         for batch in batches:
             ids, raws = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for own in _steps(raws):
                 texts = [np.frombuffer(raws[i], np.uint64) for i in own]
                 found: dict[tuple[int, int], float] = {}
                 starts = [np.arange(0, max(1, len(t) - RUN + STEP), STEP) for t in texts]
-                vectors = np.concatenate([_windows(t, s, idf, basis) for t, s in zip(texts, starts)])
+                vectors = np.concatenate([_windows(t, s, weighted) for t, s in zip(texts, starts)])
                 whose = np.repeat(np.arange(len(texts)), [len(s) for s in starts])
                 i, j, sim = _near_pairs(vectors, queries, centres, members)
                 if len(i):
@@ -271,10 +267,15 @@ def _search(shared):
                     for p, c in zip(pair[first].tolist(), np.maximum.reduceat(sim[order], first).tolist()):
                         k = divmod(p, len(items))
                         found[k] = max(found.get(k, 0.0), c)
-                for d, text in enumerate(texts):  # a leak is one whatever its passages' cosine
-                    for k in {k for r in with_run.keys() & set(_runs(text).tolist()) for k in with_run[r]}:
-                        if (d, k) not in found:
-                            found[d, k] = float((vectors[whose == d] @ queries[owner == k].T).max())
+                ends = np.cumsum([len(t) for t in texts])
+                runs = _runs(np.concatenate(texts))  # those over a text's end are no runs
+                near = np.minimum(np.searchsorted(known, runs), max(0, len(known) - 1))
+                for at in np.flatnonzero(known[near] == runs).tolist() if len(known) else []:  # a leak is one whatever its passages' cosine
+                    d = int(np.searchsorted(ends, at, side="right"))
+                    if at + RUN <= ends[d]:
+                        for k in with_run[int(runs[at])]:
+                            if (d, k) not in found:
+                                found[d, k] = float((vectors[whose == d] @ queries[owner == k].T).max())
                 rows = []
                 bags: dict[int, tuple[set, set]] = {}
                 for (d, k), c in found.items():
@@ -305,7 +306,7 @@ def leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", item_key:
     spark = documents.sparkSession
     words = encoded(documents, key, text)
     idf = inverse_frequencies(words)
-    basis = latent_basis(words, idf)
+    weighted = latent_basis(words, idf) * idf[:, None]
     cache: dict[str, int] = {}
     out, block, size = None, [], 0
 
@@ -314,9 +315,9 @@ def leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", item_key:
         for i, (_, w, _) in enumerate(block):
             starts = np.unique([*range(0, max(1, len(w) - RUN + 1), EVERY), max(0, len(w) - RUN)])
             owner.append(np.full(len(starts), i))
-            vectors.append(_windows(w, starts, idf, basis))
+            vectors.append(_windows(w, starts, weighted))
         queries = np.ascontiguousarray(np.concatenate(vectors))
-        shared = spark.sparkContext.broadcast((idf, basis, np.concatenate(owner), queries, cells(queries), block))
+        shared = spark.sparkContext.broadcast((weighted, np.concatenate(owner), queries, cells(queries), block))
         return materialize(words.mapInArrow(_search(shared), "doc_id long, item_id long, cosine double, run int, subsequence double, answer double"))
 
     for r in items.select(F.col(item_key).cast("long").alias("id"), F.col(text).alias("text")).where("id IS NOT NULL AND text IS NOT NULL").toLocalIterator():

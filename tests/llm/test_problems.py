@@ -539,11 +539,11 @@ def test_a_run_is_a_leak_whatever_its_cosine(spark, monkeypatch):
 def _block(spark, rows, item):
     words = leakage.encoded(documents(spark, rows), "doc_id", "text")
     idf = leakage.inverse_frequencies(words)
-    basis = leakage.latent_basis(words, idf)
+    weighted = leakage.latent_basis(words, idf) * idf[:, None]
     w = leakage.word_hashes(" ".join(item), {})
     starts = np.arange(len(w) - leakage.RUN + 1)
-    queries = leakage._windows(w, starts, idf, basis)
-    return idf, basis, np.zeros(len(starts), int), queries, leakage.cells(queries), [(7, w, w[-5:])]
+    queries = leakage._windows(w, starts, weighted)
+    return weighted, np.zeros(len(starts), int), queries, leakage.cells(queries), [(7, w, w[-5:])]
 
 
 def test_common_subsequence():
