@@ -104,6 +104,27 @@ def split_audit(df: DataFrame) -> DataFrame:
     return j.groupBy("dim", "left_split", "right_split").agg(F.count(F.lit(1)).alias("shared_keys"), F.sum("ln").alias("left_rows"), F.sum("rn").alias("right_rows"), F.count(F.when(F.col("ll") != F.col("rl"), 1)).alias("label_conflicts"))
 
 
+#: Pairs of splits that are audited.
+PAIRS = [("train", "valid"), ("train", "test"), ("valid", "test")]
+
+
+def audit_report(df: DataFrame, dims: tuple[str, ...] = DIMENSIONS, examples: int = 5) -> DataFrame:
+    """One row for every dimension and pair of splits, also where nothing is shared: whether both splits have keys of the dimension, and split_audit's figures with the first shared keys as examples."""
+    spark = df.sparkSession
+    grid = spark.createDataFrame([(d, a, b) for d in dims for a, b in PAIRS], "dim string, left_split string, right_split string")
+    per = materialize(identity_keys(df, dims).groupBy("split", "dim", "key").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_set("target")).alias("labels")))
+    there = per.select("split", "dim").distinct()
+    l, r = (per.select("dim", "key", F.col("split").alias(f"{s}_split"), F.col("n").alias(f"{s}_n"), F.col("labels").alias(f"{s}_labels")) for s in ("left", "right"))
+    both = l.join(r, ["dim", "key"]).join(F.broadcast(grid), ["dim", "left_split", "right_split"], "left_semi")  # 21 rows
+    group = ["dim", "left_split", "right_split"]
+    found = both.groupBy(*group).agg(F.count(F.lit(1)).alias("shared_keys"), F.sum("left_n").alias("left_rows"), F.sum("right_n").alias("right_rows"), F.count(F.when(F.col("left_labels") != F.col("right_labels"), 1)).alias("label_conflicts"))
+    first = both.withColumn("place", F.row_number().over(W.partitionBy(*group).orderBy("key"))).where(F.col("place") <= examples).groupBy(*group).agg(F.sort_array(F.collect_list("key")).alias("examples"))
+    has = lambda s: there.select("dim", F.col("split").alias(f"{s}_split"), F.lit(True).alias(f"has_{s}"))
+    out = grid.join(has("left"), ["dim", "left_split"], "left").join(has("right"), ["dim", "right_split"], "left").join(found, group, "left").join(first, group, "left")
+    counts = ["shared_keys", "left_rows", "right_rows", "label_conflicts"]
+    return out.select(*group, (F.coalesce("has_left", F.lit(False)) & F.coalesce("has_right", F.lit(False))).alias("available"), *[F.coalesce(c, F.lit(0)).alias(c) for c in counts], F.coalesce("examples", F.array().cast("array<string>")).alias("examples"))
+
+
 def internal_duplicates(df: DataFrame) -> DataFrame:
     """Per split and dimension: keys with more than one row, the redundant rows and the keys with more than one label."""
     per = identity_keys(df).groupBy("split", "dim", "key").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("target").alias("labels"))
@@ -173,7 +194,7 @@ def expected_chunks(n: Column, length: int = 512, overlap: int = 128) -> Column:
     return F.when(n <= body, 1).otherwise(1 + F.ceil((n - body) / step)).cast("long")
 
 
-def chunk_windows(tokens: Column, length: int = 512, overlap: int = 128, most: int = 8, bos: str = "<s>", eos: str = "</s>") -> Column:
+def chunk_windows(tokens: Column, length: int = 512, overlap: int = 128, most: int = 8, bos: str | int = "<s>", eos: str | int = "</s>") -> Column:
     """The overlapping windows of a token array, each framed by a begin and an end mark; an empty array gives one empty window."""
     if length < 3:
         raise ValueError("a chunk needs room for one token")
@@ -181,3 +202,16 @@ def chunk_windows(tokens: Column, length: int = 512, overlap: int = 128, most: i
     step = body - min(overlap, body - 1)
     k = F.least(F.lit(most), expected_chunks(F.size(tokens), length, overlap).cast("int"))
     return F.transform(F.sequence(F.lit(0), k - 1), lambda i: F.concat(F.array(F.lit(bos)), F.slice(tokens, i * step + 1, F.lit(body)), F.array(F.lit(eos))))
+
+
+def token_chunks(tokens: DataFrame, key: str = "fn_id", length: int = 512, overlap: int = 128, most: int = 8, bos: int = 0, eos: int = 2) -> DataFrame:
+    """(key, n, chunks, truncated) of token ids (key, tokens): their number, framed windows and whether tokens were left out."""
+    framed = chunk_windows(F.col("tokens"), length, overlap, most, bos, eos)
+    return tokens.select(key, F.size("tokens").alias("n"), framed.alias("chunks"), (expected_chunks(F.size("tokens"), length, overlap) > most).alias("truncated"))
+
+
+def token_limits(sizes: DataFrame, by: str = "split", length: int = 512, overlap: int = 128, most: int = 8) -> DataFrame:
+    """Per split, of (by, n): texts of more tokens than one chunk holds, texts of more chunks than are kept, chunks that are kept, and the mean number of tokens."""
+    f = sizes.select(by, "n", expected_chunks(F.col("n"), length, overlap).alias("c"))
+    n = lambda c: F.count(F.when(c, 1))
+    return f.groupBy(by).agg(n(F.col("n") + 2 > length).alias("over_limit"), n(F.col("c") > most).alias("over_chunks"), F.sum(F.least("c", F.lit(most))).cast("long").alias("capped_chunks"), F.avg("n").alias("mean_tokens"))

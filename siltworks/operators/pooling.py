@@ -7,6 +7,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siltworks.operators import metrics
+
 METHODS = ("mean", "max", "attention")
 
 
@@ -73,3 +75,21 @@ def predicted(df: DataFrame, model: LogisticRegressionModel, vector: str = "vect
     """df with ``logit`` and ``score`` of a fitted head."""
     out = model.transform(df.withColumn("features", array_to_vector(F.col(vector))))
     return out.withColumn("logit", F.get(vector_to_array("rawPrediction"), F.lit(1))).withColumn("score", F.get(vector_to_array("probability"), F.lit(1))).drop("features", "rawPrediction", "probability", "prediction")
+
+
+def fitted(train: DataFrame, valid: DataFrame, epochs: int = 5, steps: int = 4, patience: int = 2, min_delta: float = 0.0, monitor: str = "average_precision") -> tuple[LogisticRegressionModel, DataFrame]:
+    """(the best head, its history): heads of more and more steps, each scored on the validation rows by a ranking metric, until ``patience`` epochs in a row do not exceed the best by more than min_delta; the best one is given back."""
+    spark = train.sparkSession
+    best, top, misses, history = None, float("-inf"), 0, []
+    for epoch in range(1, epochs + 1):
+        model = classifier(train, steps=epoch * steps)
+        r = metrics.ranking(predicted(valid, model).withColumn("__one", F.lit(1)), "__one").first()
+        score = r[monitor] if r is not None else float("nan")
+        history.append((epoch, score))
+        if best is None or score > top + min_delta:
+            best, top, misses = model, score if score == score else top, 0
+        else:
+            misses += 1
+            if misses >= patience:
+                break
+    return best, spark.createDataFrame(history, "epoch long, score double")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import math
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -56,6 +58,13 @@ def drawn(df: DataFrame, positives: int, negatives: int, seed: int | str = 42) -
     return ranked.where(((y == 1) & (F.col("rank") <= positives)) | ((y == 0) & (F.col("rank") <= negatives))).drop("rank")
 
 
+def require_train(name: str) -> str:
+    """The name of a table to undersample, which has to say that it is a training split: others keep their own shares."""
+    if "train" not in name.rsplit("/", 1)[-1].lower():
+        raise ValueError(f"{name} is not a training split")
+    return name
+
+
 def undersampled(df: DataFrame, ratio: float = 10.0, seed: int = 42, half_even: bool = False) -> DataFrame:
     """All positives and ratio times as many negatives, cut to a whole number or (half_even) rounded, half to even, the first in random order."""
     p, n = class_counts(df)
@@ -133,6 +142,19 @@ def trials(df: DataFrame, space: dict, seed: int = 42, trial: str = "trial") ->
     return df.select("*", *out)
 
 
+def random_search(space: dict, evaluate: Callable[[dict], float], spark: SparkSession, n: int = 20, seed: int = 42) -> DataFrame:
+    """(trial, parameters as JSON, score, error, place) of n drawn configurations, each scored by a function of its parameters, which may run jobs of its own. A trial that fails is recorded with its error and comes last."""
+    rows = []
+    for r in trials(spark.range(n).withColumnRenamed("id", "trial"), space, seed).orderBy("trial").collect():  # n rows
+        drawn_ = {k: r[k] for k in space}
+        try:
+            score, error = float(evaluate(drawn_)), None
+        except Exception as e:  # noqa: BLE001 - a trial that runs out of memory is a result
+            score, error = None, repr(e)[:500]
+        rows.append((r.trial, json.dumps(drawn_, sort_keys=True), score, error))
+    return best_trial(spark.createDataFrame(rows, "trial long, parameters string, score double, error string"))
+
+
 def best_trial(df: DataFrame, score: str = "score", trial: str = "trial") -> DataFrame:
     """The trials in order of their score, with ``place`` from 1; a failed trial (null, NaN) comes last. Trials are few."""
     s = F.when(F.col(score).isNull() | F.isnan(score), F.lit(float("-inf"))).otherwise(F.col(score))

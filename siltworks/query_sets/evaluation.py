@@ -120,7 +120,15 @@ def evaluation_ledger(spark, d):
     return spark.createDataFrame([(t["number"], t["repeated"], t["other_checkpoints"]) for t in told], "number long, repeated boolean, other_checkpoints long")
 
 
-QUERIES = [calibrated_scores, calibration_reports, uniform_bins, platt_out_of_fold, isotonic_out_of_fold, frozen_policy, hybrid_variants, calibration_ablation, error_slices, truncation_ratios, rule_agreement, overlap_sensitivity, high_losses, severity_summary, scorer_baselines, evaluation_ledger]
+def saved_evaluation(spark, d):
+    """The test split's metrics at 0.5, saved as a report with predictions and a ledger, and the predictions read back."""
+    rows = scored(spark, d).where("split = 'test'")
+    path = f"{scratch(spark)}/evaluation-{uuid.uuid4().hex}"
+    told = writers.save_evaluation(path, metrics.confusion(rows, F.col("score") >= 0.5, "split"), rows.select("fn_id", "score", "target"), "a1")
+    return spark.read.parquet(f"{path}/predictions").agg(F.count(F.lit(1)).alias("n"), F.sum("fn_id").alias("ids")).withColumn("number", F.lit(told["number"]).cast("long"))
+
+
+QUERIES = [saved_evaluation, calibrated_scores, calibration_reports, uniform_bins, platt_out_of_fold, isotonic_out_of_fold, frozen_policy, hybrid_variants, calibration_ablation, error_slices, truncation_ratios, rule_agreement, overlap_sensitivity, high_losses, severity_summary, scorer_baselines, evaluation_ledger]
 
 
 def queries() -> dict:
@@ -163,6 +171,7 @@ def oracle_sql() -> dict[str, str]:
     report = f"WITH p AS {PRED}, e AS (SELECT split, list_distinct(quantile_cont(score, [{', '.join(str(i / 10) for i in range(11))}])) AS d FROM p GROUP BY split), b AS (SELECT p.split, score, target, len(list_filter(list_sort(d)[2:len(d) - 1], lambda x: x <= score)) AS bin FROM p JOIN e USING (split)), r AS (SELECT split, bin, count(*) AS n, avg(score) AS mp, avg(target::DOUBLE) AS o FROM b GROUP BY split, bin), c AS (SELECT split, sum(n * abs(mp - o)) / sum(n) AS ece, max(abs(mp - o)) AS mce, sum(n * sqrt(0.6366197723675814) * sqrt(mp * (1 - mp) / n)) / sum(n) AS noise_floor FROM r GROUP BY split), k AS ({ranked('p', 'split')}), a AS (SELECT split, count(*) AS n, avg(target::DOUBLE) AS positive_rate, avg((score - target) * (score - target)) AS brier FROM p GROUP BY split) SELECT split, n, round(positive_rate, 7) AS positive_rate, round(brier, 7) AS brier, round(ece, 7) AS ece, round(mce, 7) AS mce, round(noise_floor, 7) AS noise_floor, round(roc_auc, 7) AS roc_auc, round(average_precision, 7) AS pr_auc FROM a JOIN c USING (split) JOIN k USING (split)"
     return {
         "calibrated_scores": f"SELECT fn_id, split, round(1 / (1 + exp(-(0.8 * ln({q} / (1 - {q})) - 0.5))), 8) AS platt, round(CASE WHEN score < {xs[0]} THEN {ys[0]} WHEN score >= {xs[-1]} THEN {ys[-1]} {seg} END, 8) AS isotonic, round(least(1.0, score + CASE WHEN target = 1 THEN 0.15 ELSE 0 END), 8) AS blended, round(ln({q} / (1 - {q})), 8) AS logit FROM {PRED}",
+        "saved_evaluation": f"SELECT count(*) AS n, sum(fn_id)::BIGINT AS ids, 1::BIGINT AS number FROM {TEST}",
         "calibration_reports": report,
         "uniform_bins": f"SELECT split, len(list_filter([{', '.join(str(i / 10) for i in range(1, 10))}]::DOUBLE[], lambda x: x <= score)) AS bin, count(*) AS n, round(avg(score), 9) AS mean_predicted, round(avg(target::DOUBLE), 9) AS observed_rate FROM {PRED} GROUP BY 1, 2",
         "hybrid_variants": f"WITH {RULED}, {v}, m AS ({confusion('v', 'flag', 'variant')}), a AS ({ranked('v', 'variant')}) SELECT m.*, round(roc_auc, 9) AS roc_auc, round(average_precision, 9) AS average_precision FROM m JOIN a USING (variant)",

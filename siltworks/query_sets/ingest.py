@@ -7,12 +7,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltworks.functions import scalars
+from siltworks.functions import scalars, tokens
 from siltworks.functions.text import trimmed
 from siltworks.operators import corpus, sampling
-from siltworks.plans.runtime import materialize, scratch, table
+from siltworks.plans.runtime import materialize, scratch, spread, table
 from siltworks.sources import files, jsonl
-from siltworks.sql import TOKENS, chash, norm, q, trim
+from siltworks.sql import KEYS, TOKENS, chash, norm, q, trim
 
 CHUNKED = {"length": 64, "overlap": 16, "most": 8}
 
@@ -145,7 +145,31 @@ def early_stops(spark, d):
     return sampling.early_stop(x, "run_id", "log_id", "score", 2, 0.01).withColumn("best_score", F.round("best_score", 9))
 
 
-QUERIES = [jsonl_records, jsonl_read_back, field_presence, raw_profile, raw_validation, source_names, supported_languages, payload_scalars, throttle_bits, chunk_ids, windowed_overlap, overlap_examples, undersampled_rounded, undersampling_counts, stratified_limit, stratified_subset, balanced_subset, epoch_permutation, class_split, search_trials, learning_rates, early_stops]
+def audit_report(spark, d):
+    """Every dimension and pair of splits."""
+    return corpus.audit_report(table(spark, d, "code_functions")).withColumn("examples", F.array_join("examples", "|"))
+
+
+def token_limits(spark, d):
+    """Tokens of a public tokenizer against the size of chunks."""
+    f = table(spark, d, "code_functions")
+    sizes = tokens.tokenized(spread(f), "fn_id", "func").select("fn_id", F.size("tokens").cast("long").alias("n"))
+    return corpus.token_limits(sizes.join(f.select("fn_id", "split"), "fn_id")).withColumn("mean_tokens", F.round("mean_tokens", 6))
+
+
+def token_chunks(spark, d):
+    """Texts cut into chunks of token ids."""
+    c = corpus.token_chunks(tokens.tokenized(spread(table(spark, d, "code_functions")), "fn_id", "func"))
+    return c.select("fn_id", F.col("n").cast("long").alias("n"), F.size("chunks").cast("long").alias("chunks"), "truncated", F.md5(F.to_json("chunks")).alias("digest"))
+
+
+def ranked_trials(spark, d):
+    """Runs of the log in order of their best loss."""
+    r = table(spark, d, "run_log").where("run_id IS NOT NULL").groupBy(F.col("run_id").alias("trial")).agg(F.max(-F.get_json_object("payload", "$.loss").try_cast("double")).alias("score"))
+    return sampling.best_trial(r).select("trial", F.round("score", 9).alias("score"), F.col("place").cast("long").alias("place"))
+
+
+QUERIES = [audit_report, token_limits, token_chunks, ranked_trials, jsonl_records, jsonl_read_back, field_presence, raw_profile, raw_validation, source_names, supported_languages, payload_scalars, throttle_bits, chunk_ids, windowed_overlap, overlap_examples, undersampled_rounded, undersampling_counts, stratified_limit, stratified_subset, balanced_subset, epoch_permutation, class_split, search_trials, learning_rates, early_stops]
 
 
 def queries() -> dict:
@@ -203,7 +227,10 @@ def oracle_sql() -> dict[str, str]:
     bits = ", ".join(f"({1 << i}, {q(n)})" for i, n in enumerate(files.THROTTLE))
     warm, done = "least(step / 12.0, 1.0)", "(step - 12) / 188.0"
     rate = lambda fall: f"round(CASE WHEN step < 12 THEN {warm} ELSE {fall} END, 9)"
+    dims = ", ".join(q(x) for x in corpus.DIMENSIONS)
     return {
+        "audit_report": f"WITH k AS ({KEYS}), g AS (SELECT split, dim, key, count(*) AS n, list_sort(list(DISTINCT target) FILTER (target IS NOT NULL)) AS labels FROM k GROUP BY ALL), p AS (SELECT unnest([{dims}]) AS dim), s AS (SELECT * FROM p, (VALUES ('train', 'valid'), ('train', 'test'), ('valid', 'test')) AS t(left_split, right_split)), b AS (SELECT l.dim, l.split AS left_split, r.split AS right_split, l.key, l.n AS ln, r.n AS rn, coalesce(l.labels, []) IS DISTINCT FROM coalesce(r.labels, []) AS differ, row_number() OVER (PARTITION BY l.dim, l.split, r.split ORDER BY l.key) AS i FROM g l JOIN g r USING (dim, key)), c AS (SELECT dim, left_split, right_split, count(*) AS shared_keys, sum(ln)::BIGINT AS left_rows, sum(rn)::BIGINT AS right_rows, count(*) FILTER (differ) AS label_conflicts, array_to_string(list(key ORDER BY key) FILTER (i <= 5), '|') AS examples FROM b GROUP BY ALL) SELECT s.*, EXISTS (SELECT 1 FROM g WHERE g.dim = s.dim AND g.split = s.left_split) AND EXISTS (SELECT 1 FROM g WHERE g.dim = s.dim AND g.split = s.right_split) AS available, coalesce(shared_keys, 0) AS shared_keys, coalesce(left_rows, 0) AS left_rows, coalesce(right_rows, 0) AS right_rows, coalesce(label_conflicts, 0) AS label_conflicts, coalesce(examples, '') AS examples FROM s LEFT JOIN c USING (dim, left_split, right_split)",
+        "ranked_trials": "WITH r AS (SELECT run_id AS trial, max(-TRY_CAST(CASE WHEN json_valid(payload) THEN payload ->> '$.loss' END AS DOUBLE)) AS score FROM run_log WHERE run_id IS NOT NULL GROUP BY run_id) SELECT trial, round(score, 9) AS score, row_number() OVER (ORDER BY coalesce(CASE WHEN NOT isnan(score) THEN score END, '-inf'::DOUBLE) DESC, trial) AS place FROM r",
         "jsonl_records": f"WITH {LINES}, {RECORDS} SELECT record_id, cf AS code_field, lf AS label_field, length(code) AS chars, label FROM r WHERE ok",
         "jsonl_read_back": f"WITH x AS (SELECT coalesce(regexp_replace(raw_line, '[\\r\\n]+', ' ', 'g'), '') AS l FROM raw_records) SELECT count(*) AS lines, count(*) FILTER (length({trim('l')}) > 0) AS filled, count(*) FILTER (coalesce(CASE WHEN json_valid(l) THEN json_type(l) = 'OBJECT' END, false)) AS objects, count(*) AS places FROM x",
         "field_presence": f"WITH {LINES}, k AS (SELECT split, unnest(list_distinct(json_keys(l))) AS field FROM o WHERE ok), t AS (SELECT split, count(*) AS total FROM o WHERE ok GROUP BY split) SELECT split, field, count(*) AS n, round(count(*) / any_value(total), 9) AS share FROM k JOIN t USING (split) GROUP BY split, field",

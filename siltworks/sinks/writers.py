@@ -166,3 +166,12 @@ def load_model(spark: SparkSession, path: str, kind, parts: tuple[str, ...] = ("
     if "state" in parts:
         out["state"] = json.loads(read_text(spark, f"{path}/state.json"))
     return out
+
+
+def save_evaluation(path: str, metrics: DataFrame, predictions: DataFrame | None = None, digest: str | None = None) -> dict:
+    """An evaluation in a folder: its metrics as a report, the rows' predictions, if given, as Parquet, and an entry in the ledger beside; what the ledger tells is given back."""
+    spark = metrics.sparkSession
+    write_report(f"{path}/report.json", metrics=metrics)
+    if predictions is not None:
+        predictions.write.mode("overwrite").parquet(f"{path}/predictions")
+    return record_evaluation(spark, f"{path}/ledger", digest, {"metrics": [r.asDict() for r in metrics.collect()]})

@@ -503,3 +503,45 @@ def test_chunks_tell_what_they_leave_out(spark):
     df = spark.createDataFrame([(1, "t", 0, " ".join("abcdefghij")), (2, "v", 1, None)], "fn_id long, split string, target int, func string")
     got = {r.fn_id: (len(r.chunks), r.truncated) for r in corpus.chunked(df, 5, 1, 3).collect()}
     assert got == {1: (3, True), 2: (1, False)}
+
+
+def test_trials_that_fail_come_last(spark):
+    def evaluate(p):
+        if p["batch_size"] == 8:
+            raise MemoryError("too large")
+        return -p["dropout"]
+
+    got = sampling.random_search(sampling.search_space(), evaluate, spark, 12).orderBy("place").collect()
+    assert len(got) == 12 and got[0].error is None and all(r.error is None or r.score is None for r in got)
+    best = [r.score for r in got if r.score is not None]
+    assert best == sorted(best, reverse=True) and "MemoryError" in next(r.error for r in got if r.error)
+    assert sampling.require_train("data/train_chunked.parquet") and pytest.raises(ValueError, sampling.require_train, "train/valid.parquet")
+
+
+def test_the_best_head_is_given_back(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, [float(a), float(b)], int(a + 0.3 * b > 0)) for i, (a, b) in enumerate(rng.standard_normal((200, 2)))]
+    df = spark.createDataFrame(rows, "fn_id long, vector array<double>, target int")
+    model, history = pooling.fitted(df.where("fn_id < 150"), df.where("fn_id >= 150"), epochs=4, patience=1)
+    scores_ = [r.score for r in history.orderBy("epoch").collect()]
+    assert 1 <= len(scores_) <= 4 and max(scores_) > 0.9
+    r = metrics.ranking(pooling.predicted(df.where("fn_id >= 150"), model).withColumn("split", F.lit("v"))).first()
+    assert r.average_precision == pytest.approx(max(scores_))
+
+
+def test_an_audit_tells_what_is_absent(spark):
+    rows = [(1, "train", "int a;", 0, None), (2, "test", "int b;", 1, "h"), (3, "train", "int b;", 0, "")]
+    df = spark.createDataFrame([(i, s, f, t, None, None, None, None, h) for i, s, f, t, h in rows], "fn_id long, split string, func string, target int, project string, commit_id string, idx string, big_vul_idx string, hash string")
+    got = {(r.dim, r.left_split, r.right_split): r for r in corpus.audit_report(df).collect()}
+    assert len(got) == 21 and not got["hash", "train", "test"].available and got["exact_code", "train", "test"].available
+    assert got["exact_code", "train", "test"].label_conflicts == 1 and len(got["exact_code", "train", "test"].examples) == 1 and not got["exact_code", "train", "valid"].available
+
+
+def test_tokens_of_a_public_vocabulary(spark):
+    from siltworks.functions import tokens
+
+    df = spark.createDataFrame([(1, "int main(void) { return 0; }"), (2, ""), (3, None)], "fn_id long, func string")
+    got = {r.fn_id: r.tokens for r in tokens.tokenized(df, "fn_id", "func").collect()}
+    assert tokens.encoding(tokens.default_vocabulary()).decode(got[1]) == "int main(void) { return 0; }" and got[2] == got[3] == []
+    c = {r.fn_id: r for r in corpus.token_chunks(tokens.tokenized(df, "fn_id", "func"), length=4, overlap=1, most=2).collect()}
+    assert c[1].truncated and [x[0] for x in c[1].chunks] == [0, 0] and c[2].chunks == [[0, 2]]
