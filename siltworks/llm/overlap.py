@@ -264,12 +264,12 @@ def scan_passages(train: DataFrame, passages: DataFrame) -> DataFrame:
     shared = spark.sparkContext.broadcast(key_map(passages, "passage"))
     texts = materialize(train.select("seq", "grams", "letters").mapInArrow(_stretches(sizes, shards, shared), "shard int, seq long, grams int, letters binary"), "lz4")
     dealt = passages.withColumn("shard", F.pmod(F.shiftrightunsigned("passage", 32), F.lit(shards)).cast("int"))
-    load = texts.groupBy("shard").agg((F.sum(F.length("letters") + 24) / LOAD).cast("int").alias("extra")).where("extra > 0")
-    heavy = {r.shard: r.extra + 1 for r in load.collect()}  # shards that need several tasks
-    parts = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in heavy.items() for x in kv]), F.col("shard")), F.lit(1)) if heavy else F.lit(1)
-    left = dealt.select("shard", F.explode(F.sequence(F.lit(0), parts - 1)).alias("salt"), F.lit(0).alias("kind"), F.col("passage").alias("key"), F.lit(0).alias("grams"), "letters")
-    right = texts.select("shard", F.pmod(F.xxhash64("seq"), parts).cast("int").alias("salt"), F.lit(1).alias("kind"), F.col("seq").alias("key"), "grams", "letters")
-    tasks = max(shuffle_partitions(spark), shards + sum(heavy.values()) - len(heavy))
+    load = materialize(texts.groupBy("shard").agg((F.sum(F.length("letters") + 24) / LOAD).cast("int").alias("extra")).where("extra > 0"))  # shards that need several tasks
+    more = load.agg(F.coalesce(F.sum("extra"), F.lit(0))).first()[0]
+    parts = F.coalesce("extra", F.lit(0)) + 1
+    left = dealt.join(load, "shard", "left").select("shard", F.explode(F.sequence(F.lit(0), parts - 1)).alias("salt"), F.lit(0).alias("kind"), F.col("passage").alias("key"), F.lit(0).alias("grams"), "letters")
+    right = texts.join(load, "shard", "left").select("shard", F.pmod(F.xxhash64("seq"), parts).cast("int").alias("salt"), F.lit(1).alias("kind"), F.col("seq").alias("key"), "grams", "letters")
+    tasks = max(shuffle_partitions(spark), shards + more)
     return materialize(left.unionByName(right).repartition(tasks, "shard", "salt").sortWithinPartitions("shard", "salt", "kind").mapInArrow(_find, "passage long, t_seq long, t_grams int"))
 
 
