@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import base64
-import importlib.util
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -14,33 +11,18 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siltworks.functions.text import label_key
+from siltworks.functions.tokens import default_vocabulary, encoding
 from siltworks.plans.runtime import materialize
 
-#: Blocks that a source's records are dealt into, and output shards.
-BLOCKS, SHARDS = 256, 16
-_ENCODINGS: dict[str, object] = {}
-
-
-def default_vocabulary() -> str:
-    """The byte-level vocabulary of the installed public tokenizers."""
-    return str(Path(importlib.util.find_spec("public_tokenizers").origin).parent / "byte_bpe_50k.tiktoken")
-
-
-def _encoding(path: str):
-    if path not in _ENCODINGS:
-        import public_tokenizers
-        import tiktoken
-
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
-        _ENCODINGS[path] = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return _ENCODINGS[path]
+#: Blocks at least and at most that a source's records are dealt into, tokens of a block between the two, and output shards.
+BLOCKS, MOST_BLOCKS, BLOCK_TOKENS, SHARDS = 256, 4096, 1 << 26, 16
 
 
 def _count(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding = _encoding(path)
+        encode = encoding(path).encode_ordinary
         for batch in batches:
-            sizes = [len(encoding.encode_ordinary(t)) if t else 0 for t in batch.column(2).to_pylist()]
+            sizes = [len(encode(t)) if t else 0 for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64())], names=["doc_id", "source", "tokens"])
 
     return run
@@ -105,14 +87,15 @@ def mixed(df: DataFrame, targets: DataFrame, shards: int = SHARDS, seed: int = 4
 
 def _dealt(sizes: DataFrame, rows: list[tuple], shards: int = SHARDS, seed: int = 42) -> DataFrame:
     spark = sizes.sparkSession
-    bucket = F.pmod(F.xxhash64(F.lit(seed), "source", "doc_id"), F.lit(BLOCKS)).cast("int")
+    blocks = max(BLOCKS, min(MOST_BLOCKS, max((r[1] for r in rows), default=0) // BLOCK_TOKENS))
+    bucket = F.pmod(F.xxhash64(F.lit(seed), "source", "doc_id"), F.lit(blocks)).cast("int")
     rng = np.random.default_rng(seed)
-    per_block = {(r.source, r.block): r.tokens for r in sizes.withColumn("block", bucket).groupBy("source", "block").agg(F.sum("tokens").alias("tokens")).where(F.col("source").isin([r[0] for r in rows])).collect()}  # 256 rows a wanted source
+    per_block = {(r.source, r.block): r.tokens for r in sizes.withColumn("block", bucket).groupBy("source", "block").agg(F.sum("tokens").alias("tokens")).where(F.col("source").isin([r[0] for r in rows])).collect()}  # at most MOST_BLOCKS rows a wanted source
     used: dict[str, list[tuple[int, int, int]]] = {}  # source -> (pass, block, tokens wanted of it or -1 for all)
     for s, size, _, _, _, quota in rows:
         whole, left = divmod(quota, size) if size else (0, 0)
-        own = [(p, b, -1) for p in range(1, whole + 1) for b in range(BLOCKS) if (s, b) in per_block]
-        for b in range(BLOCKS):
+        own = [(p, b, -1) for p in range(1, whole + 1) for b in range(blocks) if (s, b) in per_block]
+        for b in range(blocks):
             have = per_block.get((s, b), 0)
             if have and left > 0:
                 own.append((whole + 1, b, -1 if have <= left else left))
@@ -124,7 +107,7 @@ def _dealt(sizes: DataFrame, rows: list[tuple], shards: int = SHARDS, seed: int
         for s, n in zip(names, counts):
             dealt.extend((s, *block, shard) for block in used[s][at[s] : at[s] + n])
             at[s] += n
-    plan = F.broadcast(spark.createDataFrame(dealt, "source string, copy_no int, block int, upto long, shard int"))  # sources x repeats x 256 rows
+    plan = F.broadcast(spark.createDataFrame(dealt, "source string, copy_no int, block int, upto long, shard int"))  # sources x repeats x MOST_BLOCKS rows at most
     joined = sizes.withColumn("block", bucket).join(plan, ["source", "block"])
     whole = joined.where("upto < 0")
     before = F.coalesce(F.sum("tokens").over(W.partitionBy("source", "block", "copy_no").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id"), "doc_id").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
