@@ -7,7 +7,7 @@ import traceback
 import uuid
 from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -30,11 +30,10 @@ def refuse_same(spark: SparkSession, source: str, target: str) -> None:
         raise ValueError(f"{target} would overwrite {source}")
 
 
-def write_jsonl(df: DataFrame, path: str, mode: str = "errorifexists") -> int:
-    """Writes rows as JSON lines (UTF-8, not escaped) and returns their number, counted while they are written."""
-    seen = Observation()
-    df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode(mode).json(path)
-    return seen.get["n"]
+def write_jsonl(df: DataFrame, path: str, replace: bool = False) -> int:
+    """Writes rows as JSON lines (UTF-8, not escaped) and returns their number: the lines of the committed files, so df runs once and a task that is tried again counts once. A path that is there is refused, or replaced."""
+    df.write.mode("overwrite" if replace else "errorifexists").json(path)
+    return df.sparkSession.read.text(path).count()
 
 
 def pass_through(spark: SparkSession, source: str, target: str) -> None:
