@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from siltworks.functions import scalars
 from siltworks.operators import analyzer, detect, evaluation, metrics
 from siltworks.plans.runtime import materialize, scratch, table
+from siltworks.query_sets import flow
 from siltworks.queries import rounded
 from siltworks.sinks import writers
 from siltworks.sql import CWES, FN_FINDINGS, PRED, RISK, UNIQUE, chash, confusion, norm, trim
@@ -182,5 +183,6 @@ def oracle_sql() -> dict[str, str]:
         "overlap_sensitivity": f"WITH {fn}, m AS ({confusion('x', f'score >= {T}', 'part').replace(', 9)', ', 15)')}), a AS ({ranked('x', 'part')}), l AS (SELECT part, unnest([{', '.join(chr(39) + n + chr(39) for n in names)}]) AS metric, unnest([{', '.join(names)}]) AS value FROM m JOIN a USING (part)), g AS (SELECT metric, max(value) FILTER (part = 'all') AS w, max(value) FILTER (part = 'rest') AS o FROM l GROUP BY metric) SELECT metric, round(w, 8) AS with_overlap, round(o, 8) AS without_overlap, round(o - w, 8) AS delta, metric = (SELECT arg_max(metric, (abs(o - w), metric)) FROM g) AS largest FROM g",
         "high_losses": f"WITH x AS (SELECT fn_id, target, score, ln({q} / (1 - {q})) AS logit FROM {PRED}), y AS (SELECT *, greatest(logit, 0.0) - logit * target + ln(1 + exp(-abs(logit))) AS loss FROM x) SELECT fn_id, target, round(score, 8) AS score, round(logit, 8) AS logit, round(loss, 8) AS loss FROM y WHERE loss > 1.0 ORDER BY y.loss DESC, fn_id LIMIT 5",
         "severity_summary": f"WITH {FN_FINDINGS}, {UNIQUE} SELECT fn_id, count(*) AS total, " + ", ".join(f"count(*) FILTER (severity = '{s}') AS {s.lower()}" for s in ("CRITICAL", "HIGH", "MEDIUM", "LOW", "INFO")) + " FROM u WHERE fn_id IS NOT NULL GROUP BY fn_id",
+        "scorer_baselines": f"WITH ds AS ({flow.oracle_sql()['detector_scores']}), x AS (SELECT c.split || '|' || n AS grp, c.split, n AS scorer, c.target, sc AS score FROM (SELECT fn_id, unnest(['rules_only', 'taint_only', 'rules_taint']) AS n, unnest([rules_only, taint_only, rules_taint]) AS sc FROM ds) JOIN code_functions c USING (fn_id) WHERE c.target IN (0, 1)), m AS ({confusion('x', 'score >= 1e-9', 'grp, split, scorer')}), a AS ({ranked('x', 'grp')}) SELECT m.* EXCLUDE (grp), round(roc_auc, 9) AS roc_auc, round(average_precision, 9) AS average_precision FROM m JOIN a USING (grp)",
         "evaluation_ledger": "SELECT * FROM (VALUES (1::BIGINT, false, 0::BIGINT), (2::BIGINT, true, 1::BIGINT), (3::BIGINT, true, 2::BIGINT)) AS t(number, repeated, other_checkpoints)",
     }

@@ -250,6 +250,7 @@ def oracle_sql() -> dict[str, str]:
         "balanced_subset": f"WITH {TRAIN.format(seed=0)} SELECT fn_id, target FROM k WHERE (target = 1 AND r <= least(200, p)) OR (target = 0 AND r <= 400 - least(200, p))",
         "epoch_permutation": f"WITH x AS (SELECT fn_id, row_number() OVER (ORDER BY md5('{42 * 1_000_003 + 3}:' || fn_id), fn_id) - 1 AS place FROM code_functions WHERE split = 'train') SELECT * FROM x WHERE place >= 100",
         "class_split": "SELECT CASE target WHEN 1 THEN 'positive' ELSE 'negative' END AS class, count(*) AS n, sum(fn_id)::BIGINT AS ids FROM code_functions WHERE target IN (0, 1) GROUP BY 1",
+        "early_stops": "WITH RECURSIVE e AS (SELECT DISTINCT ON (log_id) run_id, log_id, -TRY_CAST(CASE WHEN json_valid(payload) THEN payload ->> '$.loss' END AS DOUBLE) AS s FROM run_log WHERE kind IN ('epoch', 'step') AND run_id IS NOT NULL), o AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY log_id) AS i FROM e WHERE s IS NOT NULL), w AS (SELECT run_id, i, log_id AS best, s AS top, 0 AS misses, NULL::BIGINT AS stopped FROM o WHERE i = 1 UNION ALL SELECT o.run_id, o.i, CASE WHEN o.s > w.top + 0.01 THEN o.log_id ELSE w.best END, CASE WHEN o.s > w.top + 0.01 THEN o.s ELSE w.top END, CASE WHEN o.s > w.top + 0.01 THEN 0 ELSE w.misses + 1 END, CASE WHEN NOT o.s > w.top + 0.01 AND w.misses + 1 >= 2 THEN o.log_id END FROM w JOIN o ON o.run_id = w.run_id AND o.i = w.i + 1 WHERE w.stopped IS NULL) SELECT run_id, arg_max(best, i) AS best_epoch, round(arg_max(top, i), 9) AS best_score, max(stopped) AS stopped FROM w GROUP BY run_id",
         "search_trials": _trials(),
         "learning_rates": f"SELECT step, unnest(['linear', 'cosine', 'constant_with_warmup']) AS schedule, unnest([{rate('greatest(0.0, 1 - ' + done + ')')}, {rate('greatest(0.0, 0.5 * (1 + cos(pi() * ' + done + ')))')}, {rate('1.0')}]) AS rate FROM (SELECT unnest(range(200)) AS step)",
     }
