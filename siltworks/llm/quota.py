@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 
 from siltworks.functions.text import cwe_class
 
+#: Rows of a targets table at most: their quotas are found on the driver and broadcast.
+CATEGORIES = 100_000
+
+
 def _max_flow(n: int, edges: list[tuple[int, int, int]], s: int, t: int) -> list[int]:
     """The flow on each edge of a maximum flow (shortest augmenting paths; the graph has one edge a category)."""
     to, cap, out = [], [], [[] for _ in range(n)]
@@ -104,10 +108,13 @@ def _bounded_table(cells: dict[tuple, Fraction], box: dict[tuple, tuple[int, int
 def target_report(df: DataFrame, targets: DataFrame, divisor: int = 10, target: str = "target", cwe: str = "cwe") -> DataFrame:
     """One row for each wanted category: available rows, rows needed, the quota drawn and whether it falls short.
 
-    The sample has S = rows // divisor rows. Needed is the larger of min_rows and share_permille * S / 1000 rounded up. The quota is the controlled rounding of the shares with min_rows and the rows available as bounds of the flow; a category falls short where the flow from the rows available does not fill its need. A row counts by its target 0 or 1 and its class of ``cwe`` (``none`` without one); other targets count in S only. Targets named twice are added up (the larger minimum holds); a null share or minimum is 0. An empty table gives S = 0 and every needed minimum short. The targets table is a parameter, one row a category."""
+    The sample has S = rows // divisor rows. Needed is the larger of min_rows and share_permille * S / 1000 rounded up. The quota is the controlled rounding of the shares with min_rows and the rows available as bounds of the flow; a category falls short where the flow from the rows available does not fill its need. A row counts by its target 0 or 1 and its class of ``cwe`` (``none`` without one); other targets count in S only. Targets named twice are added up (the larger minimum holds); a null share or minimum is 0. An empty table gives S = 0 and every needed minimum short. The targets table is a parameter, one row a category; more than 100,000 rows are refused."""
     spark = df.sparkSession
     wanted: dict[tuple, list[int]] = {}
-    for r in targets.select("target", "cwe", "share_permille", "min_rows").collect():
+    named_rows = targets.select("target", "cwe", "share_permille", "min_rows").limit(CATEGORIES + 1).collect()
+    if len(named_rows) > CATEGORIES:
+        raise ValueError(f"more than {CATEGORIES} rows of targets")
+    for r in named_rows:
         w = wanted.setdefault((r.target, r.cwe), [0, 0])
         w[0] += r.share_permille or 0
         w[1] = max(w[1], r.min_rows or 0)
